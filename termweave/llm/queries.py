@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinctive
+from . import bpe, distinctive, leakage, near_duplicates, term_trie
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,4 +22,38 @@ def p3_log_entropy(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive.distinctive_terms(words, distinctive.log_entropy).select(F.col("record").alias("document_id"), "term", "f", "df", "score")
 
 
-QUERIES = {"p3_found": p3_found, "p3_log_entropy": p3_log_entropy}
+def _abstracts(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "structured_document").select("record_id", F.col("abstract_paragraphs_clean").alias("paragraphs"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_pairs(_abstracts(spark, folder))
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.record_classes(_abstracts(spark, folder))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return term_trie.marked_counts(_abstracts(spark, folder)).select("term", "total_frequency", "document_frequency", "mark")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.token_ids(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    items = _table(spark, folder, "eval_item").select(F.col("item_id").alias("item"), "text")
+    return leakage.leaked_items(documents, items).toDF("doc_id", "item_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_log_entropy": p3_log_entropy,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+}
