@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, distinctive, leakage, near_duplicates, term_trie
+from . import bpe, distinctive, leakage, near_duplicates, residue, term_trie
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +48,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(documents, items).toDF("doc_id", "item_id")
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text", "title", F.col("journal").alias("slug"), F.col("source").alias("host"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(_pages(spark, folder)).select(F.col("doc").alias("doc_id"))
+
+
+def p8_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(_pages(spark, folder)).groupBy("kind").agg(F.count("*").alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -56,4 +68,6 @@ QUERIES = {
     "p3_log_entropy": p3_log_entropy,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_kinds": p8_kinds,
 }
