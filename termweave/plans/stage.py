@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +23,13 @@ def settled(df: DataFrame) -> DataFrame:
     losing an executor loses nothing."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it lies, when they start in another folder than the driver."""
+    home = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
+    return spark
