@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, distinctive, leakage, near_duplicates, residue, term_trie
+from . import bpe, distinctive, leakage, near_duplicates, residue, sentences, term_trie
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return term_trie.marked_counts(_abstracts(spark, folder)).select("term", "total_frequency", "document_frequency", "mark")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    paragraphs = _table(spark, folder, "processed_document").select("document_id", "segment_id", "text")
+    return sentences.sentence_ranges(paragraphs, ["document_id", "segment_id"])
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_ids(_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -66,6 +71,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_log_entropy": p3_log_entropy,
+    "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
