@@ -13,7 +13,7 @@ A record is the set of its runs of ``run`` consecutive terms; two records are si
 No result depends on the estimates: they only order the runs and choose the prefixes.
 
 Defined results. Null paragraphs and null or empty abstracts hold no run and match nothing. Equal rows count once. Records with a null id are left
-out. A run never crosses paragraphs.
+out. If a record id stands with several abstracts, one of them counts. A run never crosses paragraphs.
 """
 
 from __future__ import annotations
@@ -30,12 +30,13 @@ from ..functions.text import folded_terms
 from ..plans.stage import settled
 from .leakage import _mixed, shingles
 
-#: Counters of the sketch. Its size is fixed: 4 bytes each, whatever the collection.
+#: Counters of the sketch. Its size is fixed: 4 bytes each, whatever the collection. A task counts each up to 255, which orders as well.
 SKETCH = 1 << 20
 _SLICES = 16
 _BYTES = 5  # of a run's hash in a stored set
 _LONGEST = 8  # largest l
 _VERIFY = 12.0  # cost of verifying a pair, in joined postings
+_SEND = 4.0  # cost of sending a posting, in joined postings
 
 SETS = "record_id bigint, first bigint, second bigint, n int, runs binary"
 
@@ -108,12 +109,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.bincount(_bucket(values), minlength=SKETCH)
         total = found if total is None else total + found
     if total is not None:
-        parts = np.minimum(total, 65535).astype(np.uint16).reshape(_SLICES, -1)
+        parts = np.minimum(total, 255).astype(np.uint8).reshape(_SLICES, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
 
 def _add(key, table):
-    total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in table.column("counts").to_pylist())
+    total = sum(np.frombuffer(c, np.uint8).astype(np.int64) for c in table.column("counts").to_pylist())
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
@@ -145,17 +146,15 @@ def _posting(shared, threshold: float):
                 best, chosen = np.full(len(n), np.inf), np.ones(len(n), np.int64)
                 for level in range(1, _LONGEST + 1):
                     length = np.minimum(n - least + level, n)
-                    price = (upto[ends[:-1] + length] - upto[ends[:-1]]) * (1 + _VERIFY / level)
+                    price = (upto[ends[:-1] + length] - upto[ends[:-1]]) * (1 + _VERIFY / level) + _SEND * length
                     better = (price < best) & (level <= least)
                     best[better], chosen[better] = price[better], level
                 longest = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + chosen
                 sent = place < longest[record]
                 owner = record[sent]
                 token = (values[sent] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token), part.column(0).take(pa.array(owner)), pa.array(place[sent].astype(np.int32)), pa.array(n[owner].astype(np.int32)), pa.array(chosen[owner].astype(np.int32))],
-                    ["token", "id", "place", "n", "level"],
-                )
+                packed = (n[owner] << 32) | (place[sent] << 8) | chosen[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(token), part.column(0).take(pa.array(owner)), pa.array(packed)], ["token", "id", "packed"])
 
     return post
 
@@ -180,11 +179,20 @@ def _verifying(threshold: float):
     return verify
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of classes with enough shared prefix runs."""
+    """(a, b): pairs of classes with enough shared prefix runs, written to the checkpoint folder.
+
+    The postings are shuffled and sorted by run once and kept; both sides of the join read them from there.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(sketch(classes))
-    posts = classes.select(F.col("record_id"), "runs").mapInArrow(_posting(shared, threshold), "token int, id bigint, place int, n int, level int")
-    x, y = posts.alias("x"), posts.alias("y")
+    sent = classes.select(F.col("record_id"), "runs").mapInArrow(_posting(shared, threshold), "token int, id bigint, packed bigint")
+    posts = sent.repartition(_partitions(classes), "token").sortWithinPartitions("token").persist(StorageLevel.MEMORY_AND_DISK)
+    side = posts.select("token", "id", F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("place"), F.col("packed").bitwiseAND(F.lit(0xFF)).alias("level"))
+    x, y = side.alias("x"), side.alias("y")
     overlap = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     level = F.least("x.level", "y.level")
     # The smaller set stands left; of equal sizes, the smaller id.
@@ -193,26 +201,28 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     within = (F.col("x.place") < F.col("x.n") - overlap + level) & (F.col("y.place") < F.col("y.n") - overlap + level)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & alike & within)
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), level.alias("level")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("level").alias("level"))
-    return pairs.where(F.col("shared") >= F.col("level")).select("a", "b")
+    found = settled(pairs.where(F.col("shared") >= F.col("level")).select("a", "b"))
+    posts.unpersist()
+    return found
 
 
 def similar_classes(records: DataFrame, threshold: float, run: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (record_id, class_id) of every record with a run; links (a, b, similarity) between class ids.
 
     Both are written to the checkpoint folder. What is kept in between is recomputed if an executor is lost, and let go at the end.
+    Sets travel once, by record id, and once more for the pairs to verify.
     """
-    rows = run_sets(records, run).persist(StorageLevel.MEMORY_AND_DISK)
-    same = ["first", "second", "n"]
-    classes = rows.groupBy(*same).agg(F.min("record_id").alias("record_id"), F.first("runs").alias("runs")).persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = settled(candidates(classes, threshold))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("record_id")).distinct()
-    sets = classes.select("record_id", "runs").join(needed, "record_id", "left_semi")
-    left, right = sets.select(F.col("record_id").alias("a"), F.col("runs").alias("x")), sets.select(F.col("record_id").alias("b"), F.col("runs").alias("y"))
+    one = F.min(F.struct("first", "second", "n", "runs")).alias("s")
+    ones = run_sets(records, run).groupBy("record_id").agg(one).select("record_id", F.struct("s.first", "s.second", "s.n").alias("set"), F.col("s.runs").alias("runs")).persist(StorageLevel.MEMORY_AND_DISK)
+    least = ones.groupBy("set").agg(F.min("record_id").alias("class_id"))
+    members = settled(ones.select("record_id", "set").join(least, "set").select("record_id", "class_id"))
+    stands = members.where(F.col("record_id") == F.col("class_id")).select("record_id")
+    classes = ones.select("record_id", "runs").join(stands, "record_id").persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = candidates(classes, threshold)
+    left, right = classes.select(F.col("record_id").alias("a"), F.col("runs").alias("x")), classes.select(F.col("record_id").alias("b"), F.col("runs").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     links = settled(met.mapInArrow(_verifying(threshold), "a bigint, b bigint, similarity double"))
-    ids = classes.select(*same, F.col("record_id").alias("class_id"))
-    members = settled(rows.select("record_id", *same).distinct().join(ids, same).select("record_id", "class_id"))
-    rows.unpersist()
+    ones.unpersist()
     classes.unpersist()
     return members, links
 
