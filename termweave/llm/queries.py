@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, distinctive, leakage, near_duplicates, residue, sentences, term_trie
+from . import bpe, distinctive, language, leakage, near_duplicates, residue, sentences, term_trie
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +43,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_ranges(paragraphs, ["document_id", "segment_id"])
 
 
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    records = _table(spark, folder, "structured_document")
+    return language.corrected_languages(records.select("record_id", F.col("language").alias("label"), F.col("abstract_paragraphs_clean").alias("paragraphs")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _languages(spark, folder).select("record_id", "paragraph_no", "char_start", "lang")
+
+
+def p5_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    return _languages(spark, folder)
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_ids(_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -72,6 +85,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_log_entropy": p3_log_entropy,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_confidence": p5_confidence,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
