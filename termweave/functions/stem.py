@@ -41,15 +41,25 @@ def mask(word: str, regex: Regex) -> str:
     return m
 
 
+def _measure(m: str, regex: Regex) -> str:
+    """How often a vowel run is followed by a consonant run."""
+    flat = regex(regex(m, "C+", "C"), "V+", "V")
+    return f"((length({flat}) - length(replace({flat}, 'VC', ''))) / 2)"
+
+
+def measures(regex: Regex) -> list[str]:
+    """The measures q0 .. q7 of a word without its last 0 to 7 letters, over its mask ``m``."""
+    return [_measure(f"left(m, greatest(length(m) - {k}, 0))", regex) for k in range(8)]
+
+
 def steps(regex: Regex) -> list[str]:
-    """The expressions of the steps over columns ``w`` (the word) and ``m`` (its mask)."""
+    """The expressions of the steps over columns ``w`` (the word), ``m`` (its mask) and q0 .. q7 (measures of its stems)."""
 
     def cut(n: int, column: str = "w") -> str:
         return f"left({column}, greatest(length({column}) - {n}, 0))"
 
     def measure(m: str) -> str:
-        flat = regex(regex(m, "C+", "C"), "V+", "V")
-        return f"((length({flat}) - length(replace({flat}, 'VC', ''))) / 2)"
+        return _measure(m, regex)
 
     def ends(w: str, *suffixes: str) -> str:
         return "(" + " OR ".join(f"right({w}, {len(s)}) = '{s}'" for s in suffixes) + ")"
@@ -64,21 +74,20 @@ def steps(regex: Regex) -> list[str]:
         return f"({m} LIKE '%V%')"
 
     def chain(rules: list[tuple[str, str]], least: int) -> str:
-        cases = [f"WHEN {ends('w', s)} THEN (CASE WHEN {measure(cut(len(s), 'm'))} > {least} THEN {cut(len(s))} || '{by}' ELSE w END)" for s, by in rules]
+        cases = [f"WHEN {ends('w', s)} THEN (CASE WHEN q{len(s)} > {least} THEN {cut(len(s))} || '{by}' ELSE w END)" for s, by in rules]
         return f"CASE {' '.join(cases)} ELSE w END"
 
     pairs = [[tuple(p.split(" ")) for p in rules.split(",")] for rules in (STEP_2, STEP_3)]
     one_a = f"CASE WHEN {ends('w', 'sses')} THEN {cut(2)} WHEN {ends('w', 'ies')} THEN {cut(3)} || 'i' WHEN {ends('w', 'ss')} THEN w WHEN {ends('w', 's')} THEN {cut(1)} ELSE w END"
     # 1b in two: the bare stem behind a marker, then its repair.
-    bare = f"CASE WHEN {ends('w', 'eed')} THEN (CASE WHEN {measure(cut(3, 'm'))} > 0 THEN {cut(1)} ELSE w END) WHEN {ends('w', 'ed')} AND {vowel(cut(2, 'm'))} THEN '#' || {cut(2)} WHEN {ends('w', 'ing')} AND NOT {ends('w', 'ed')} AND {vowel(cut(3, 'm'))} THEN '#' || {cut(3)} ELSE w END"
+    bare = f"CASE WHEN {ends('w', 'eed')} THEN (CASE WHEN q3 > 0 THEN {cut(1)} ELSE w END) WHEN {ends('w', 'ed')} AND {vowel(cut(2, 'm'))} THEN '#' || {cut(2)} WHEN {ends('w', 'ing')} AND NOT {ends('w', 'ed')} AND {vowel(cut(3, 'm'))} THEN '#' || {cut(3)} ELSE w END"
     s, sm = "substr(w, 2)", "substr(m, 2)"
     repair = f"CASE WHEN left(w, 1) <> '#' THEN w WHEN {ends(s, 'at', 'bl', 'iz')} THEN {s} || 'e' WHEN {double(s, sm)} AND right(w, 1) NOT IN ('l', 's', 'z') THEN left({s}, length({s}) - 1) WHEN {measure(sm)} = 1 AND {cvc(s, sm)} THEN {s} || 'e' ELSE {s} END"
     one_c = f"CASE WHEN {ends('w', 'y')} AND length(w) > 1 AND {vowel(cut(1, 'm'))} THEN {cut(1)} || 'i' ELSE w END"
-    four = [f"WHEN {ends('w', 'ion')} THEN (CASE WHEN {measure(cut(3, 'm'))} > 1 AND {ends(cut(3), 's', 't')} THEN {cut(3)} ELSE w END)"]
-    four += [f"WHEN {ends('w', x)} THEN (CASE WHEN {measure(cut(len(x), 'm'))} > 1 THEN {cut(len(x))} ELSE w END)" for x in STEP_4.split()]
-    m1 = measure(cut(1, "m"))
-    five_a = f"CASE WHEN {ends('w', 'e')} AND ({m1} > 1 OR ({m1} = 1 AND NOT {cvc(cut(1), cut(1, 'm'))})) THEN {cut(1)} ELSE w END"
-    five_b = f"CASE WHEN {ends('w', 'll')} AND {measure('m')} > 1 THEN {cut(1)} ELSE w END"
+    four = [f"WHEN {ends('w', 'ion')} THEN (CASE WHEN q3 > 1 AND {ends(cut(3), 's', 't')} THEN {cut(3)} ELSE w END)"]
+    four += [f"WHEN {ends('w', x)} THEN (CASE WHEN q{len(x)} > 1 THEN {cut(len(x))} ELSE w END)" for x in STEP_4.split()]
+    five_a = f"CASE WHEN {ends('w', 'e')} AND (q1 > 1 OR (q1 = 1 AND NOT {cvc(cut(1), cut(1, 'm'))})) THEN {cut(1)} ELSE w END"
+    five_b = f"CASE WHEN {ends('w', 'll')} AND q0 > 1 THEN {cut(1)} ELSE w END"
     return [one_a, bare, repair, one_c, chain(pairs[0], 0), chain(pairs[1], 0), f"CASE {' '.join(four)} ELSE w END", five_a, five_b]
 
 
@@ -91,7 +100,8 @@ def stemmed(words: DataFrame, column: str = "word") -> DataFrame:
     """(word, stem) of distinct lower-case words; words of up to two letters or with other signs than a to z stay as they are."""
     out = words.select(F.col(column).alias("word")).distinct().withColumn("w", F.col("word"))
     for step in steps(spark_regex):
-        out = out.withColumn("m", F.expr(_masked(spark_regex))).withColumn("w", F.expr(step))
+        out = out.withColumn("m", F.expr(_masked(spark_regex)))
+        out = out.withColumns({f"q{k}": F.expr(q) for k, q in enumerate(measures(spark_regex))}).select("word", F.expr(step).alias("w"))
     plain = F.col("word").rlike("^[a-z]+$") & (F.length("word") > 2)
     return out.select("word", F.when(plain, F.col("w")).otherwise(F.col("word")).alias("stem"))
 
@@ -100,7 +110,8 @@ def duck_stems(source: str) -> str:
     """The same in DuckDB's SQL, from a relation with a column ``word``."""
     sql = f"SELECT DISTINCT word, word AS w FROM ({source})"
     for step in steps(duck_regex):
-        sql = f"SELECT word, {step} AS w FROM (SELECT word, w, {_masked(duck_regex)} AS m FROM ({sql}))"
+        counts = ", ".join(f"{q} AS q{k}" for k, q in enumerate(measures(duck_regex)))
+        sql = f"SELECT word, {step} AS w FROM (SELECT word, w, m, {counts} FROM (SELECT word, w, {_masked(duck_regex)} AS m FROM ({sql})))"
     return f"SELECT word, CASE WHEN regexp_full_match(word, '[a-z]+') AND length(word) > 2 THEN w ELSE word END AS stem FROM ({sql})"
 
 

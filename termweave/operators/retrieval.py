@@ -126,10 +126,13 @@ def related_phrase(tokens: DataFrame, plan: QueryPlan, extra: int = 2) -> DataFr
     def end(s: Column) -> Column:
         out = s["p"]
         for term, n in sorted(need.items()):
-            nth = F.get(F.filter("occ", lambda o, term=term: (o["b"] == term) & (o["p"] >= s["p"])), F.lit(n - 1))["p"]
-            out = F.when(nth.isNotNull(), F.greatest(out, nth))
+            nth = F.get(F.filter("occ", behind(term, s)), F.lit(n - 1))["p"]
+            out = F.when(out.isNotNull() & nth.isNotNull(), F.greatest(out, nth))
         return out
 
+    def behind(term: str, s: Column):
+        return lambda o: (o["b"] == term) & (o["p"] >= s["p"])
+
     k = len(plan.bases)
     return _windows(_occurrences(tokens, plan), end, None, k, extra if k > 1 else -9, f"proximity_N{extra}")
 
