@@ -6,7 +6,7 @@ _P = TERM_PATTERN.replace("'", "''")
 
 _LOCAL = """
 rows AS (SELECT DISTINCT document_id, segment_id, field, journal, words FROM positioned_document WHERE document_id IS NOT NULL),
-tok AS (SELECT document_id, replace(lower(w.text), 'ß', 'ss') AS term FROM (SELECT document_id, unnest(words) AS w FROM rows) WHERE w.text IS NOT NULL AND trim(w.text) <> ''),
+tok AS (SELECT document_id, replace(lower(replace(w.text, 'İ', 'i̇')), 'ß', 'ss') AS term FROM (SELECT document_id, unnest(words) AS w FROM rows) WHERE w.text IS NOT NULL AND trim(w.text) <> ''),
 loc AS (SELECT document_id, term, count(*) AS f FROM tok WHERE regexp_matches(term, '\\p{L}') GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT document_id)::DOUBLE AS n FROM positioned_document),
 """
@@ -14,7 +14,7 @@ n AS (SELECT count(DISTINCT document_id)::DOUBLE AS n FROM positioned_document),
 # Paragraph by paragraph, the runs of three terms as one string each.
 _RUNS = f"""
 par AS (SELECT DISTINCT record_id, generate_subscripts(abstract_paragraphs_clean, 1) AS k, unnest(abstract_paragraphs_clean) AS paragraph FROM structured_document),
-lists AS (SELECT record_id, list_transform(regexp_extract_all(paragraph, '{_P}'), lambda x: replace(lower(x), 'ß', 'ss')) AS t FROM par WHERE paragraph IS NOT NULL),
+lists AS (SELECT record_id, list_transform(regexp_extract_all(paragraph, '{_P}'), lambda x: replace(lower(replace(x, 'İ', 'i̇')), 'ß', 'ss')) AS t FROM par WHERE paragraph IS NOT NULL),
 runs AS (SELECT DISTINCT record_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS run FROM lists WHERE len(t) > 2),
 sizes AS (SELECT record_id, count(*) AS n FROM runs GROUP BY 1),
 met AS (SELECT x.record_id AS a, y.record_id AS b, count(*) AS k FROM runs x JOIN runs y ON x.run = y.run AND x.record_id < y.record_id GROUP BY 1, 2),
@@ -32,15 +32,15 @@ SELECT record_id, class_id, count(*) OVER (PARTITION BY class_id) AS copies, coa
 """,
     "p2_found": f"""
 WITH par AS (SELECT DISTINCT record_id, generate_subscripts(abstract_paragraphs_clean, 1) AS k, unnest(abstract_paragraphs_clean) AS paragraph FROM structured_document),
-tok AS (SELECT record_id, replace(lower(unnest(regexp_extract_all(paragraph, '{_P}'))), 'ß', 'ss') AS term FROM par WHERE paragraph IS NOT NULL),
+tok AS (SELECT record_id, replace(lower(replace(unnest(regexp_extract_all(paragraph, '{_P}')), 'İ', 'i̇')), 'ß', 'ss') AS term FROM par WHERE paragraph IS NOT NULL),
 n AS (SELECT count(DISTINCT record_id) AS n FROM structured_document)
 SELECT term, count(*) AS total_frequency, count(DISTINCT record_id) AS document_frequency,
   CASE WHEN count(DISTINCT record_id) < 3 THEN 'rare' WHEN count(DISTINCT record_id) > 0.3 * any_value(n) THEN 'common' ELSE 'keep' END AS mark
 FROM tok, n GROUP BY term
 """,
     "p7_found": """
-WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM eval_item WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(replace(text, 'İ', 'i̇')), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(replace(lower(replace(text, 'İ', 'i̇')), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM eval_item WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS win FROM d WHERE len(w) >= 12),
 iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS win FROM i WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (win)
