@@ -115,9 +115,6 @@ def duck_stems(source: str) -> str:
     return f"SELECT word, CASE WHEN regexp_full_match(word, '[a-z]+') AND length(word) > 2 THEN w ELSE word END AS stem FROM ({sql})"
 
 
-PART = "[a-z]+"
-
-
 def token_parts(token: Column) -> Column:
     """The parts of a token between its joining signs, which stay: letters and other runs in turn."""
-    return F.regexp_extract_all(token, F.lit("[^/'‐‑‒–—-]+|[/'‐‑‒–—-]+"), F.lit(0))
+    return F.regexp_extract_all(token, F.lit("[^/'’‐‑‒–—-]+|[/'’‐‑‒–—-]+"), F.lit(0))

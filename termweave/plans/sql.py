@@ -51,7 +51,7 @@ _REL = {
     "ca": "SELECT document_id, term, count(*) AS n FROM ta GROUP BY 1, 2",
     "cb": "SELECT document_id, term, count(*) AS n FROM tb GROUP BY 1, 2",
     "cc": "SELECT document_id, term, count(*) AS n FROM tc GROUP BY 1, 2",
-    "part0": "SELECT term, regexp_extract_all(term, '[^/''‐‑‒–—-]+|[/''‐‑‒–—-]+') AS p FROM (SELECT DISTINCT term FROM cb)",
+    "part0": "SELECT term, regexp_extract_all(term, '[^/''’‐‑‒–—-]+|[/''’‐‑‒–—-]+') AS p FROM (SELECT DISTINCT term FROM cb)",
     "part": "SELECT term, generate_subscripts(p, 1) AS i, unnest(p) AS word FROM part0",
     "stems": duck_stems("SELECT word FROM part"),
     "stem_of": "SELECT term, replace(string_agg(stem, '' ORDER BY i), '’', '''') AS stem FROM part JOIN stems USING (word) GROUP BY term",
