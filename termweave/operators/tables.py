@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import stemmed, token_parts
+from ..plans.stage import spread
 
 CONDITIONS = ["A_basic", "B_no_punctuation", "C_no_stopwords", "D_porter"]
 
@@ -17,7 +18,7 @@ CONDITIONS = ["A_basic", "B_no_punctuation", "C_no_stopwords", "D_porter"]
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """(document_id, text, lang, source): one row for each document with a text."""
     read = spark.read.parquet(f"{folder}/documents.parquet")
-    return read.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("document_id"), "text", "lang", "source")
+    return spread(read.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("document_id"), "text", "lang", "source"))
 
 
 def segments(docs: DataFrame) -> DataFrame:

@@ -33,3 +33,9 @@ def reachable(spark: SparkSession) -> SparkSession:
     if home not in known:
         environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows as they are read, unless a small or unsplittable input would leave most cores idle: then dealt out evenly."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
