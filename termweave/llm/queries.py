@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stage import spread
 from . import bpe, distinctive, language, leakage, near_duplicates, residue, sentences, term_trie
 
 
@@ -23,7 +24,7 @@ def p3_log_entropy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _abstracts(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "structured_document").select("record_id", F.col("abstract_paragraphs_clean").alias("paragraphs"))
+    return spread(_table(spark, folder, "structured_document").select("record_id", F.col("abstract_paragraphs_clean").alias("paragraphs")))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +68,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text", "title", F.col("journal").alias("slug"), F.col("source").alias("host"))
+    return spread(_table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text", "title", F.col("journal").alias("slug"), F.col("source").alias("host")))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
