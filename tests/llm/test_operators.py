@@ -157,6 +157,16 @@ def test_languages(spark):
     assert [language.named(x) for x in ("EN-us", "ger", "French ", "mul", "en;de", None)] == ["en", "de", "fr", None, None, None]
 
 
+def test_every_label_reaches_the_sentence_model(spark):
+    rows = [(k, "en", [f"Site {k} was open. Visitors came."]) for k in range(60)] + [(100 + k, "hi", [f"केंद्र {k} खुला था। लोग आए।"]) for k in range(20)] + [(200 + k, "th", [f"ศูนย์ที่ {k} เปิดแล้ว ผู้ป่วยมาถึงแล้ว"]) for k in range(20)]
+    df = spark.createDataFrame(rows, "record_id bigint, label string, paragraphs array<string>")
+    _, model = language.fit(df, sample=100)
+    assert {"hindi ।", "thai", "low ."} <= {c[0] for c in model.event if len(c) == 1}
+    # The dictionaries stop at a size: the order must not follow the labels.
+    labels = [r[0] for r in sentences.drawn(df.select("label", "paragraphs"), 100)]
+    assert len(labels) == 100 and all(set(labels[a : a + 50]) == {"en", "hi", "th"} for a in (0, 50))
+
+
 def test_residue(spark):
     good = ["Doses [mg] are given as <mean> values.", "The set {IL-6, TNF} was measured with ${\\beta}_0$ free.", "A placeholder device replaced the pen.", "Of 9 links 4% returned a 404 Not Found error when checked.", "Readers found lorem ipsum pages harder.", None, "", "  "]
     bad = ["Text {{title}} text.", "Rose by ${doi} in all.", "[INSERT TITLE HERE]", "Lorem ipsum dolor sit amet consectetur elit", "Please enable JavaScript to view this article.", "HTTP/1.1 503 Service Unavailable\nretry-after: 30", "Your session has expired. Please log in again.", "TODO: write the abstract section.", "Real words here. Access denied. You do not have permission to view this."]
