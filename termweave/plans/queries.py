@@ -538,7 +538,7 @@ def results_page(spark, d):
 
 
 def _vocabulary(spark, d):
-    return E.vocabulary(_b(spark, d).select("term", "cf").where(F.col("term").rlike("^[a-z]+$")))
+    return E.vocabulary(_b(spark, d).select("term", "cf"))
 
 
 def _asked(spark):

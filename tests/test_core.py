@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import stem, text
 from termweave.operators import expansion, retrieval, statistics, tables
+from termweave.plans import queries
 from termweave.sources import audit, ids, markup
 
 DOCS = "document_id string, text string, lang string, source string"
@@ -107,6 +108,24 @@ def test_spelling(spark):
     assert expansion.edit_matrix("cancer", "caner")[-1][-1] == 1
 
 
+def test_spelling_covers_every_term(spark, tmp_path):
+    words = {"follow-up": 3, "más": 2, "лечение": 2, "glp-1-like": 1, "obesity": 4, "obésity": 9, "patients": 2, "患者": 1}
+    text_rows = [(w, " ".join([w] * n)) for w, n in words.items()]
+    spark.createDataFrame([(i, t, w, "en", "a") for i, (w, t) in enumerate(text_rows)], "doc_id bigint, text string, title string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark_rows = {name: queries.QUERIES[name](spark, str(tmp_path)).collect() for name in ("spell_vocab", "edit_distance", "spell_candidates")}
+    assert {tuple(r) for r in spark_rows["spell_vocab"]} == set(words.items())
+    assert {tuple(r) for r in spark_rows["edit_distance"]} == {(w, expansion.edit_matrix(w, "patient")[-1][-1]) for w in words}
+    want = []
+    for pos, asked in enumerate(queries.MISSPELT.split()):
+        near = sorted((expansion.edit_matrix(w, asked)[-1][-1], -n, abs(len(w) - len(asked)), w) for w, n in words.items())
+        want += [(pos, asked, w, far, -n, k) for k, (far, n, _, w) in enumerate((x for x in near if x[0] <= 2), 1)]
+    assert len(want) == 2 and sorted(tuple(r) for r in spark_rows["spell_candidates"]) == want
+    vocabulary = queries._vocabulary(spark, str(tmp_path))
+    asked = spark.createDataFrame([(0, "follow-up"), (1, "más"), (2, "лечени"), (3, "patiénts")], "pos int, token string")
+    got = [tuple(r) for r in expansion.corrected(asked, vocabulary).orderBy("pos").collect()]
+    assert got == [(0, "follow-up", True, "follow-up", 0), (1, "más", True, "más", 0), (2, "лечени", False, "лечение", 1), (3, "patiénts", False, "patients", 1)]
+
+
 def test_id_batches(spark):
     rows = spark.createDataFrame([(str(i), i) for i in range(250)], "id string, pos bigint")
     sizes = ids.batches(rows, 100).groupBy("batch").count().orderBy("batch").collect()
