@@ -60,18 +60,92 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, top: int, least: float = -1.0) -> DataFrame:
-    """(query, neighbour, similarity, rank) over (id, vec); the queries are few rows (id, vec) and are broadcast."""
-    q = F.broadcast(queries.select(F.col("id").alias("query"), F.col("vec").alias("qv")))
-    rows = vectors.join(q, F.col("id") != F.col("query")).select("query", F.col("id").alias("neighbour"), F.round(cosine(F.col("vec"), F.col("qv")), 6).alias("similarity"))
+#: Rows of a block of vectors, and queries compared with one at a time.
+_BLOCK = 10_000
+_CHUNK = 200
+
+
+def blocked(vectors: DataFrame, queries: DataFrame, work, schema: str, block: int = _BLOCK) -> DataFrame:
+    """``work`` over every pair of a block of queries and a block of rows, both (id, vec); a task holds one pair, and nothing is broadcast."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    rows, asked = vectors.count(), queries.count()
+    a, b = max(1, -(-asked // block)), max(1, -(-rows // block), min(cores, rows // 500))
+
+    def dealt(df: DataFrame, own: str, others: str, n: int, m: int) -> DataFrame:
+        kept = df.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).select("id", "vec")
+        return kept.select("*", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(others)).groupBy("qb", "vb")
+
+    return dealt(queries, "qb", "vb", a, b).cogroup(dealt(vectors, "vb", "qb", b, a)).applyInArrow(work, schema)
+
+
+def cosines(left, right):
+    """For each few queries of a table: their ids, the ids of all rows, and the cosines in double precision to six places; NaN for a zero vector."""
+    import numpy as np
+
+    if not len(left) or not len(right):
+        return
+    q, v = (np.array(t["vec"].to_pylist(), float) for t in (left, right))
+    ids = [t["id"].to_numpy() for t in (left, right)]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        size = np.sqrt((v * v).sum(1))
+        for k in range(0, len(q), _CHUNK):
+            part = q[k : k + _CHUNK]
+            yield ids[0][k : k + _CHUNK], ids[1], np.round(part @ v.T / (np.sqrt((part * part).sum(1))[:, None] * size), 6) + 0.0
+
+
+def _table(columns: dict, parts: list):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.table({name: pa.array(np.concatenate([p[i] for p in parts]) if parts else [], kind) for i, (name, kind) in enumerate(columns.items())})
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, top: int, least: float = -1.0, block: int = _BLOCK) -> DataFrame:
+    """(query, neighbour, similarity, rank) over (id, vec), any number of queries: the best ``top`` rows of each block, then of all."""
+
+    def best(left, right):
+        import numpy as np
+
+        parts = []
+        for asked, ids, near in cosines(left, right):
+            near[(ids[None, :] == asked[:, None]) | ~(near >= least)] = -np.inf
+            if near.shape[1] > top:
+                edge = np.partition(near, near.shape[1] - top, axis=1)[:, near.shape[1] - top]
+            else:
+                edge = np.full(len(asked), -np.inf)
+            i, j = np.nonzero((near >= edge[:, None]) & (near > -np.inf))
+            order = np.lexsort((ids[j], -near[i, j], i))
+            i, j = i[order], j[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < top
+            parts.append((asked[i[kept]], ids[j[kept]], near[i[kept], j[kept]]))
+        return _table({"query": "int64", "neighbour": "int64", "similarity": "float64"}, parts)
+
+    rows = blocked(vectors, queries, best, "query bigint, neighbour bigint, similarity double", block)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return rows.where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, block: int = _BLOCK) -> DataFrame:
+    """(a, b, similarity) of every pair of a query and another row, both (id, vec); a pair of two queries comes once, a < b."""
+
+    def pairs(left, right):
+        import numpy as np
+
+        parts = []
+        for asked, ids, near in cosines(left, right):
+            i, j = np.nonzero(ids[None, :] != asked[:, None])
+            parts.append((asked[i], ids[j], near[i, j]))
+        return _table({"a": "int64", "b": "int64", "similarity": "float64"}, parts)
+
+    rows = blocked(vectors, queries, pairs, "a bigint, b bigint, similarity double", block)
+    twice = rows.join(queries.select(F.col("id").alias("b")).distinct().withColumn("asked", F.lit(True)), "b", "left")
+    return twice.where(F.col("asked").isNull() | (F.col("a") < F.col("b"))).select("a", "b", F.nanvl("similarity", F.lit(None).cast("double")).alias("similarity"))
 
 
 def expanded(near: DataFrame, queries: DataFrame) -> DataFrame:
     """Neighbours of all query words, each once, where first seen; the query's own words are none."""
     first = Window.partitionBy("neighbour").orderBy("query", "rank")
-    rows = near.join(F.broadcast(queries.select(F.col("id").alias("neighbour"))), "neighbour", "left_anti")
+    rows = near.join(queries.select(F.col("id").alias("neighbour")), "neighbour", "left_anti")
     return rows.withColumn("k", F.row_number().over(first)).where("k = 1").select("query", "neighbour", "similarity", "rank")
 
 
@@ -88,6 +162,22 @@ def pca_2d(near: list[tuple]) -> list[tuple]:
     return [(i, float(x), float(y) if flat.shape[1] > 1 else 0.0) for i, (x, *rest) in zip(ids, flat.tolist()) for y in (rest or [0.0])]
 
 
+def pca_maps(vectors: DataFrame, queries: DataFrame, shown: int) -> DataFrame:
+    """(query, id, x, y): each query and its ``shown`` nearest rows on a plane of their own."""
+
+    def plane(key, table):
+        import pyarrow as pa
+
+        rows = sorted(zip(table["rank"].to_pylist(), table["id"].to_pylist(), table["vec"].to_pylist()))
+        flat = pca_2d([(i, v) for _, i, v in rows])
+        ids, x, y = zip(*flat)
+        return pa.table({"query": pa.array([key[0].as_py()] * len(ids), "int64"), "id": pa.array(ids, "int64"), "x": pa.array(x, "float64"), "y": pa.array(y, "float64")})
+
+    near = neighbours(vectors, queries, shown).select("query", F.col("neighbour").alias("id"), "rank").join(vectors, "id")
+    own = queries.select(F.col("id").alias("query"), "id", F.lit(0).alias("rank"), "vec")
+    return near.select("query", "id", "rank", "vec").unionByName(own).groupBy("query").applyInArrow(plane, "query bigint, id bigint, x double, y double")
+
+
 def sentence_words(tokens: DataFrame, least: int = 2) -> DataFrame:
     """(document_id, segment_id, sentence_index, words): surface forms by sentence, for training vectors."""
     rows = tokens.groupBy("document_id", "segment_id", "sentence_index").agg(F.array_sort(F.collect_list(F.struct("word_index", "surface"))).alias("w"))

@@ -21,7 +21,8 @@ QUERIES: dict[str, Query] = {}
 WORD, PHRASE, SENTENCE, LITERAL = "adults", "shift workers", "Ethical approval was granted by the review board.", "kidney transplant"
 WHOLE = "It cost too much."
 MISSPELT = "obesty treatmnt gastric"
-VECTORS = [3, 7, 11]
+VECTORS = [3, 7, 11]  # the SQL's
+EVERY = 20  # vectors whose id it divides are searched for
 DOCUMENT = "25"
 
 
@@ -584,8 +585,8 @@ def _vectors(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-def _vector_queries(spark, d, only=VECTORS):
-    return _vectors(spark, d).where(F.col("id").isin(only))
+def _vector_queries(spark, d):
+    return _vectors(spark, d).where(F.col("id") % EVERY == 0)
 
 
 @query
@@ -595,14 +596,12 @@ def vec_most_similar(spark, d):
 
 @query
 def vec_similarity(spark, d):
-    q = _vector_queries(spark, d)
-    a, b = q.toDF("a", "x"), q.toDF("b", "y")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(E.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return E.similarities(_vectors(spark, d), _vector_queries(spark, d))
 
 
 @query
 def expand_word(spark, d):
-    return E.neighbours(_vectors(spark, d), _vector_queries(spark, d, [3]), 5, 0.3)
+    return E.neighbours(_vectors(spark, d), _vector_queries(spark, d), 5, 0.3)
 
 
 @query
@@ -613,9 +612,7 @@ def expand_query(spark, d):
 
 @query
 def pca_neighbors(spark, d):
-    near = E.neighbours(_vectors(spark, d), _vector_queries(spark, d, [3]), 11).select(F.col("neighbour").alias("id"), "rank")
-    shown = _vectors(spark, d).join(near, "id").orderBy("rank").collect() + _vector_queries(spark, d, [3]).withColumn("rank", F.lit(0)).collect()
-    return spark.createDataFrame(E.pca_2d([(r["id"], r["vec"]) for r in shown]), "id bigint, x double, y double")
+    return E.pca_maps(_vectors(spark, d), _vector_queries(spark, d), 11)
 
 
 @query

@@ -1,6 +1,7 @@
 """The core on small inputs: fixed examples, invariants, nulls and empty tables."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,42 @@ def test_spelling_covers_every_term(spark, tmp_path):
     assert got == [(0, "follow-up", True, "follow-up", 0), (1, "más", True, "más", 0), (2, "лечени", False, "лечение", 1), (3, "patiénts", False, "patients", 1)]
 
 
+def test_vector_queries_take_every_twentieth_row(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    vectors = {i: draw.integers(-2, 3, 4).astype(float) for i in range(130)} | {40: np.zeros(4)}
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in vectors.items()], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def near(a, b):
+        size = np.sqrt((a @ a) * (b @ b))
+        return round(float(a @ b / size), 6) + 0.0 if size else None
+
+    asked = range(0, 130, 20)
+    every = {(a, b): near(vectors[a], vectors[b]) for a in asked for b in vectors if a != b}
+
+    def best(top, least):
+        out = {}
+        for a in asked:
+            rows = sorted((-s, b) for (q, b), s in every.items() if q == a and s is not None and s >= least)
+            out |= {(a, b): (-s, k) for k, (s, b) in enumerate(rows[:top], 1)}
+        return out
+
+    run = {name: queries.QUERIES[name](spark, str(tmp_path)).collect() for name in ("vec_most_similar", "expand_word", "expand_query", "vec_similarity", "pca_neighbors")}
+    for name, want in (("vec_most_similar", best(10, -1)), ("expand_word", best(5, 0.3))):
+        assert {(r["query"], r["neighbour"]): (r["similarity"], r["rank"]) for r in run[name]} == want and len(run[name]) == len(want)
+    first = {}
+    for (a, b), (s, k) in sorted(best(3, 0.1).items(), key=lambda x: (x[0][0], x[1][1])):
+        if b not in asked:
+            first.setdefault(b, (a, s, k))
+    assert {r["neighbour"]: (r["query"], r["similarity"], r["rank"]) for r in run["expand_query"]} == first
+    assert {(r["a"], r["b"]): r["similarity"] for r in run["vec_similarity"]} == {(a, b): s for (a, b), s in every.items() if b not in asked or a < b}
+    shown = {(a, b) for a, b in best(11, -1)} | {(a, a) for a in asked}
+    assert {(r["query"], r["id"]) for r in run["pca_neighbors"]} == shown and len(run["pca_neighbors"]) == len(shown)
+    # More blocks than one of each change nothing.
+    table = queries._vectors(spark, str(tmp_path))
+    parted = expansion.neighbours(table, table.where("id % 20 = 0"), 10, block=3)
+    assert {(r["query"], r["neighbour"]): (r["similarity"], r["rank"]) for r in parted.collect()} == best(10, -1)
+
+
 def test_id_batches(spark):
     rows = spark.createDataFrame([(str(i), i) for i in range(250)], "id string, pos bigint")
     sizes = ids.batches(rows, 100).groupBy("batch").count().orderBy("batch").collect()
