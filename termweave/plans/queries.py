@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -622,8 +623,8 @@ def w2v_sentences(spark, d):
 
 @query
 def w2v_train(spark, d):
-    model = E.train_vectors(E.sentence_words(_tokens(spark, d)), size=16, least=5, epochs=1)
-    return model.getVectors().select("word", F.size(F.expr("transform(array(1), x -> 1)")).alias("trained"))
+    model = E.train_vectors(E.sentence_words(_tokens(spark, d)), size=100, window=5, least=2, epochs=20, partitions=8)
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 # --- sources -----------------------------------------------------------------------------------------------------------------

@@ -163,6 +163,14 @@ def test_vector_queries_take_every_twentieth_row(spark, tmp_path):
     assert {(r["query"], r["neighbour"]): (r["similarity"], r["rank"]) for r in parted.collect()} == best(10, -1)
 
 
+def test_trained_vectors(spark, tmp_path):
+    rows = [(k, "Obesity rises with age. Patients lose weight.", None, "en", "a") for k in range(2)] + [(2, "Rarely seen once.", None, "en", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["word"]: r["vector"] for r in queries.w2v_train(spark, str(tmp_path)).collect()}
+    assert set(got) == set("obesity rises with age patients lose weight".split())
+    assert all(len(v) == 100 and any(v) for v in got.values())
+
+
 def test_id_batches(spark):
     rows = spark.createDataFrame([(str(i), i) for i in range(250)], "id string, pos bigint")
     sizes = ids.batches(rows, 100).groupBy("batch").count().orderBy("batch").collect()
