@@ -329,12 +329,13 @@ def split(text: str, model: EventModel) -> list[tuple[int, int]]:
 
 
 def drawn(rows: DataFrame, sample: int) -> list:
-    """About ``sample`` rows, all if there are fewer: those whose hash lies below a share of its range. Neither the driver nor a task sees more.
+    """About ``sample`` distinct rows, all if there are fewer: those whose hash lies below a share of its range. The driver sees no more.
 
     They come in the order of their hashes, so that any first part of them is a fair draw too.
     """
-    share = min(1.0, sample / max(1, rows.count()))
-    kept = rows.withColumn("drawn_at", F.xxhash64(*rows.columns)).where(F.pmod("drawn_at", F.lit(1 << 30)) < int(share * (1 << 30)))
+    hashed = rows.withColumn("drawn_at", F.xxhash64(*rows.columns))
+    share = min(1.0, sample / max(1, hashed.select("drawn_at").distinct().count()))
+    kept = hashed.where(F.pmod("drawn_at", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates()
     return [tuple(r)[:-1] for r in sorted(kept.collect(), key=lambda r: (r["drawn_at"], str(r)))]
 
 

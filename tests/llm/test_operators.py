@@ -167,6 +167,11 @@ def test_every_label_reaches_the_sentence_model(spark):
     assert len(labels) == 100 and all(set(labels[a : a + 50]) == {"en", "hi", "th"} for a in (0, 50))
 
 
+def test_copies_are_drawn_once(spark):
+    df = spark.createDataFrame([("copy",)] * 1000 + [(f"text {k}",) for k in range(50)], "text string")
+    assert sorted(sentences.drawn(df, 60)) == sorted([("copy",), *((f"text {k}",) for k in range(50))])
+
+
 def test_residue(spark):
     good = ["Doses [mg] are given as <mean> values.", "The set {IL-6, TNF} was measured with ${\\beta}_0$ free.", "A placeholder device replaced the pen.", "Of 9 links 4% returned a 404 Not Found error when checked.", "Readers found lorem ipsum pages harder.", None, "", "  "]
     bad = ["Text {{title}} text.", "Rose by ${doi} in all.", "[INSERT TITLE HERE]", "Lorem ipsum dolor sit amet consectetur elit", "Please enable JavaScript to view this article.", "HTTP/1.1 503 Service Unavailable\nretry-after: 30", "Your session has expired. Please log in again.", "TODO: write the abstract section.", "Real words here. Access denied. You do not have permission to view this."]
