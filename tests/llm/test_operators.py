@@ -157,6 +157,28 @@ def test_languages(spark):
     assert [language.named(x) for x in ("EN-us", "ger", "French ", "mul", "en;de", None)] == ["en", "de", "fr", None, None, None]
 
 
+def test_unknown_languages_are_rejected(spark):
+    draw = random.Random(6)
+    rows = [(k, "en", [" ".join(draw.sample([*ENGLISH, f"Site {k} was open."], 3))]) for k in range(40)]
+    rows += [(100 + k, "fr", [" ".join(draw.sample([*FRENCH, f"Le centre {k} est ouvert."], 3))]) for k in range(40)]
+    rows += [(300, "xx", ["Obat itu menolong beberapa orang tua untuk tidur nyenyak setiap malam."]), (301, "xx", [ENGLISH[0]])]
+    df = spark.createDataFrame(rows, "record_id bigint, label string, paragraphs array<string>")
+    got = {r["record_id"]: r["rejected"] for r in language.corrected_languages(df).collect() if r["paragraph_no"] == -1}
+    assert got == {300: True, 301: False}
+
+
+def test_pieces_tried_against_all_others_change_nothing():
+    draw = random.Random(8)
+    words = {c: [f"{a}{b}{e}" for a in ("ka", "lo", "mi", "tu") for b in x for e in y] for c, x, y in (("en", "ptk", ("ing", "ed")), ("fr", "vzl", ("ait", "eux")), ("de", "gbd", ("ung", "ig")), ("es", "rsc", ("ado", "mos")), ("pt", "nmf", ("ções", "inho")))}
+    text = {c: [" ".join(draw.choice(w) for _ in range(draw.randint(6, 14))).capitalize() + ". " for _ in range(400)] for c, w in words.items()}
+    compressors = language.Compressors({c: "".join(t[:300]).encode() for c, t in text.items()})
+    for _ in range(60):
+        record = ["".join(draw.choice(text[draw.choice(["en", "fr", "en", "de"])][300:]) for _ in range(draw.randint(1, 9)))]
+        pieces = language.rough_pieces(record)
+        quick, whole = language.path(record, pieces, compressors), language.path(record, pieces, compressors, True)
+        assert [c for c, _, _ in quick] == [c for c, _, _ in whole]
+
+
 def test_every_label_reaches_the_sentence_model(spark):
     rows = [(k, "en", [f"Site {k} was open. Visitors came."]) for k in range(60)] + [(100 + k, "hi", [f"केंद्र {k} खुला था। लोग आए।"]) for k in range(20)] + [(200 + k, "th", [f"ศูนย์ที่ {k} เปิดแล้ว ผู้ป่วยมาถึงแล้ว"]) for k in range(20)]
     df = spark.createDataFrame(rows, "record_id bigint, label string, paragraphs array<string>")
