@@ -4,20 +4,32 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one of this machine only where none is set, as in tests."""
+    """The session's checkpoint folder. Where none is set, a temporary one of this machine if the session is local, as in tests; on a cluster an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="termweave-"))
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as a Parquet table in the checkpoint folder and read from there: as `settled`, but columnar and compressed, so that
+    a later use reads only the columns it needs."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder and read from there: no later use computes them again, and
     losing an executor loses nothing."""
@@ -36,6 +48,7 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows as they are read, unless a small or unsplittable input would leave most cores idle: then dealt out evenly."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    """The rows as they are read, unless the input has fewer splits than a quarter of this session's cores and no more than a few: a small or
+    unsplittable input is dealt out evenly. Nothing but where the rows lie depends on it; inputs of many splits are never shuffled."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits <= 4 and splits * 4 <= cores else df
