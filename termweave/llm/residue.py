@@ -16,6 +16,7 @@ doubtful one (one class, or some information) needs mismatch and repetition toge
 
 One scan: a search for any page word or sign passes most texts by, and only the units of the others are weighed. Only units that wait for
 the evidence of hosts are shuffled, as hashes, counted before the shuffle; the counts come back salted, so that no unit gathers in one task.
+The evidence, a few small rows for the few texts that have any, is written once and read by each later step.
 
 Defined results. Null, empty and blank texts are no residue. Null titles, slugs and hosts give no evidence; documents without a host are one
 host. Each key comes at most once; the same text under two keys is found twice.
@@ -30,10 +31,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stage import settled
+
 # Names of fields that record templates hold.
 FIELDS = r"abstract|authors?|conclusions?|doi|drug[ _]?name|funding|journal[ _]?name|keywords?|methods?|n[ _]?patients|pmid|primary[ _]?outcome|pub[ _]?date|results?|summary|title"
 
@@ -281,7 +283,7 @@ def residue(documents: DataFrame) -> DataFrame:
 
     Kinds: placeholder, filler, repeated notice (in its host or the collection), lone notice (only by mismatch), repeated fragment (doubtful, but mismatched and repeated).
     """
-    found = evidence(documents).persist(StorageLevel.MEMORY_AND_DISK)
+    found = settled(evidence(documents))
     shaped = found.where("certainty = 3").select("doc", F.when(F.col("kind") == "placeholder", 1).otherwise(2).alias("order"))
     units = found.where("certainty < 3").select("doc", "host", "certainty", "topical", "unit")
     salted = units.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))

@@ -4,12 +4,15 @@ Each task counts into a burst trie: inner nodes route a term by its first charac
 hold the rest of the term with two counters (occurrences, records). A container that outgrows its limit bursts into a
 node and one container for each next character, so that the routing prefixes are as long as the terms at hand need and no longer.
 A trie that holds too many terms is handed on and begun anew; memory is bounded whatever the task reads. What a
-task hands on are its leaf subtrees, each under its prefix. Two tasks may burst at different depths, so matching
-subtrees meet at the finest common cut, the whole term: prefix and rest are joined again and the counters summed,
-partially before the shuffle. No prefix, however frequent, becomes one reducer's work.
+task hands on are its leaf subtrees, each under its prefix, written once.
 
-Defined results. A record is a distinct (record_id, paragraphs); equal rows count once. Null and empty abstracts hold no
-term but count as records. An empty table gives no row.
+Matching subtrees of all tasks are then merged. Two tasks may burst at different depths, so the subtrees are cut to common routes first: how many
+terms the subtrees hold below each prefix is summed (a few short prefixes a task), a prefix that holds more than its share is lengthened by one character,
+again and again, and every subtree goes to the longest route that leads to it, split where it is shorter than its routes. A route holds a bounded
+share of all terms, however frequent its prefix; the worker it meets on merges its subtrees in one trie, route by route, and gives each term once.
+
+Defined results. Equal rows count once. A record that stands with several abstracts counts once for each term of any of them, its occurrences in
+all. Null and empty abstracts hold no term but count as records; rows without record id form one record. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, term_list
+from ..plans.stage import written
 
 SEAM = "\x01"
 SUBTREES = "prefix string, rests array<string>, occurrences array<bigint>, records array<bigint>"
@@ -90,10 +95,19 @@ def _rows(trie: BurstTrie) -> pa.RecordBatch:
 def _counter(limit: int, most: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = BurstTrie(limit)
+        record, held = None, set()  # the record at hand and the terms it has been counted for
         for batch in batches:
-            records = [x.split(SEAM) for x in batch.column(0).to_pylist() if x]
-            inside = Counter(chain.from_iterable(map(set, records)))
-            for term, n in Counter(chain.from_iterable(records)).items():
+            inside: Counter = Counter()
+            lists = [x.split(SEAM) for x in batch.column(1).to_pylist()]
+            for key, terms in zip(batch.column(0).to_pylist(), lists):
+                if key != record or not held:
+                    record, held = key, set(terms)
+                    inside.update(held)
+                else:
+                    fresh = set(terms) - held
+                    inside.update(fresh)
+                    held |= fresh
+            for term, n in Counter(chain.from_iterable(lists)).items():
                 trie.add(term, n, inside[term])
             if trie.terms > most:
                 yield _rows(trie)
@@ -104,21 +118,85 @@ def _counter(limit: int, most: int):
     return count
 
 
+#: Routes a worker's partition is cut into, about; longest route.
+SHARES, DEEPEST = 4, 24
+
+
+def routes(subtrees: DataFrame, parts: int) -> set[str]:
+    """Prefixes that hold more than their share of all terms, each longer than a hot one by one character: at most parts x SHARES x DEEPEST short strings."""
+    sizes = subtrees.select("prefix", F.size("rests").cast("bigint").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    share = max(1000, total // (parts * SHARES))
+    if total <= share:
+        return set()
+    steps = F.transform(F.sequence(F.lit(0), F.least(F.length("prefix"), F.lit(DEEPEST))), lambda k: F.substring("prefix", F.lit(1), k))
+    heavy = sizes.select(F.explode(steps).alias("prefix"), "n").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > share)
+    return {r["prefix"] for r in heavy.select("prefix").collect()}
+
+
+def _routing(hot: set[str]):
+    def route(term: str) -> str:
+        depth = 0
+        while depth < len(term) and term[:depth] in hot:
+            depth += 1
+        return term[:depth]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list[list]] = {}
+            for prefix, rests, first, second in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                whole = route(prefix)
+                for rest, o, r in zip(rests, first, second):
+                    # Below a hot prefix that is as long as the subtree's own, the terms themselves tell the route.
+                    to = whole if len(whole) < len(prefix) else route(prefix + rest)
+                    cell = out.setdefault(to, [[], [], []])
+                    cell[0].append((prefix + rest)[len(to) :])
+                    cell[1].append(o)
+                    cell[2].append(r)
+            ends = pa.array(np.cumsum([0, *(len(c[0]) for c in out.values())]), pa.int32())
+            columns = [pa.ListArray.from_arrays(ends, pa.array([x for c in out.values() for x in c[i]], kind)) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), *columns], ["prefix", "rests", "occurrences", "records"])
+
+    return cut
+
+
+def _merging(limit: int):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        route, trie = None, BurstTrie(limit)
+
+        def merged() -> pa.RecordBatch:
+            cells = [(route + prefix + rest, c[0], c[1]) for prefix, leaf in trie.leaves() for rest, c in leaf.items()]
+            columns = [pa.array([c[i] for c in cells], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["term", "total_frequency", "document_frequency"])
+
+        for batch in batches:
+            for prefix, rests, first, second in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if prefix != route:
+                    if trie.terms:
+                        yield merged()
+                    route, trie = prefix, BurstTrie(limit)
+                for rest, o, r in zip(rests, first, second):
+                    trie.add(rest, o, r)
+        if trie.terms:
+            yield merged()
+
+    return merge
+
+
 def term_counts(records: DataFrame, limit: int = 512, most: int = 300_000) -> DataFrame:
     """(term, total_frequency, document_frequency) over rows of (record_id, paragraphs: array<string>).
 
     limit: terms in a container before it bursts; most: terms a task holds before it hands its trie on.
     """
-    once = records.select("record_id", "paragraphs").dropDuplicates()
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.array_join("paragraphs", "\n")
-    terms = once.select(fold(F.array_join(term_list(text), SEAM)).alias("terms")).where(F.col("terms") != "")
-    subtrees = terms.mapInArrow(_counter(limit, most), SUBTREES)
-    cells = subtrees.select("prefix", F.explode(F.arrays_zip("rests", "occurrences", "records")).alias("c"))
-    return (
-        cells.select(F.concat("prefix", "c.rests").alias("term"), F.col("c.occurrences").alias("o"), F.col("c.records").alias("r"))
-        .groupBy("term")
-        .agg(F.sum("o").alias("total_frequency"), F.sum("r").alias("document_frequency"))
-    )
+    # One shuffle, by record; the copies of a row and the abstracts of a record then lie side by side.
+    once = records.select("record_id", "paragraphs").repartition("record_id").dropDuplicates()
+    terms = once.select("record_id", fold(F.array_join(term_list(text), SEAM)).alias("terms")).where(F.col("terms") != "")
+    subtrees = written(terms.sortWithinPartitions("record_id").mapInArrow(_counter(limit, most), SUBTREES))
+    hot = routes(subtrees, parts)
+    routed = subtrees.mapInArrow(_routing(hot), SUBTREES).repartition(parts, "prefix").sortWithinPartitions("prefix")
+    return routed.mapInArrow(_merging(limit), "term string, total_frequency bigint, document_frequency bigint")
 
 
 def usefulness(frequency: Column, total: Column, rare_below: int = 3, common_above: float = 0.3) -> Column:

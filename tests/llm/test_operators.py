@@ -46,19 +46,41 @@ def test_similar_pairs_equal_brute_force(records):
     assert near_duplicates.similar_pairs(records.limit(0)).count() == 0
 
 
-def test_term_counts(records):
-    want, held, seen = Counter(), Counter(), set()
-    for r in records.collect():
-        if (key := (r[0], str(r[1]))) not in seen:
+def test_term_counts(records, spark, monkeypatch):
+    want, held, seen = Counter(), {}, set()
+    rows = [tuple(r) for r in records.collect()] + [(0, ["w1 other words"]), (None, ["w2 w2"]), (None, ["w2 w3"])]
+    for r, ps in rows:
+        if (key := (r, str(ps))) not in seen:
             seen.add(key)
-            t = [w for p in r[1] or [] for w in (p or "").split()]
+            t = [w for p in ps or [] for w in (p or "").split()]
             want.update(t)
-            held.update(set(t))
-    got = {r["term"]: (r["total_frequency"], r["document_frequency"]) for r in term_trie.term_counts(records, limit=4, most=20).collect()}
-    assert got == {w: (want[w], held[w]) for w in want}
+            for w in t:
+                held.setdefault(w, set()).add(r)
+    df = spark.createDataFrame([(*r, 1) for r in rows], RECORDS + ", term int")
+    for most, share in ((20, 1000), (100_000, 1000), (20, 3)):
+        monkeypatch.setattr(term_trie, "routes", lambda subtrees, parts, share=share: _hot(subtrees, share))
+        got = [(r["term"], r["total_frequency"], r["document_frequency"]) for r in term_trie.term_counts(df, limit=4, most=most).collect()]
+        assert len(got) == len(want) and set(got) == {(w, want[w], len(held[w])) for w in want}
     assert term_trie.marked_counts(records.limit(0)).count() == 0
 
 
+def _hot(subtrees, share):
+    """The hot prefixes by brute force."""
+    many: Counter = Counter()
+    for r in subtrees.collect():
+        for k in range(len(r["prefix"]) + 1):
+            many[r["prefix"][:k]] += len(r["rests"])
+    return {p for p, n in many.items() if n > share}
+
+
+def test_hot_prefixes_are_lengthened(spark):
+    df = spark.createDataFrame([(k, [f"abc{k} abd{k} x"]) for k in range(3000)], RECORDS)
+    cells = df.select(F.lit("ab").alias("prefix"), F.array(F.concat(F.lit("c"), "record_id")).alias("rests"), F.array(F.lit(1)).alias("occurrences"), F.array(F.lit(1)).alias("records"))
+    assert term_trie.routes(cells, 1) == {"", "a", "ab"} and term_trie.routes(cells.limit(500), 1) == set()
+    got = term_trie.term_counts(df, limit=4).collect()
+    assert len(got) == 6001 and {(r["total_frequency"], r["document_frequency"]) for r in got} == {(1, 1), (3000, 3000)}
+
+
 def test_trie_bursts():
     draw, trie, want = random.Random(1), term_trie.BurstTrie(limit=3), Counter()
     for _ in range(2000):
