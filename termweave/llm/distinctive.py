@@ -5,7 +5,7 @@ spread of each term over the records (records holding it, total, sum of f ln f).
 log-entropy weight ``log10(1 + f) * (1 - H / ln N)``, where H is the entropy of the term's spread over
 the N records, and ``f * log10(N / df)``.
 
-Defined results. A null record key belongs to no record and is left out, so are null and blank terms.
+Defined results. A null record key belongs to no record and is left out, so are null and blank terms and terms without a letter.
 Rows equal in every column count once. A record without terms gives no row. N = 1 gives the weight 1 - 0 = 1
 for the entropy factor and 0 for the other score. Ties go to the term first in code point order.
 """
@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_list
-from ..plans.stage import settled
+from ..plans.stage import written
 
 #: Terms held in most records whose spread is sent to every task. A constant, whatever the collection.
 COMMON_TERMS = 20_000
 
 
 def local_frequencies(words: DataFrame) -> DataFrame:
-    """(record, term, f) from rows of (record, part, words: array<struct<text, ...>>).
+    """(record, term, f) from rows of (record, part, words: array<struct<text, ...>>), and one row with a null term for each record.
 
     One shuffle, of whole rows by record; the frequencies are then counted where the rows lie. Copies of a
     row are told from other rows of the same part by a hash over the whole list of words.
@@ -34,10 +34,10 @@ def local_frequencies(words: DataFrame) -> DataFrame:
         .repartition("record")
         .dropDuplicates(["record", "part", "copy"])
     )
-    kept = fold_list(F.filter("texts", lambda t: t.isNotNull()))
+    kept = fold_list(F.filter(F.coalesce("texts", F.array().cast("array<string>")), lambda t: t.isNotNull()))
     return (
-        rows.select("record", F.explode(kept).alias("term"))
-        .where(F.trim("term") != "")
+        rows.select("record", F.explode(F.concat(kept, F.array(F.lit(None).cast("string")))).alias("term"))
+        .where(F.col("term").isNull() | F.col("term").rlike(r"\p{L}"))
         .groupBy("record", "term")
         .agg(F.count("*").alias("f"))
     )
@@ -67,10 +67,12 @@ def distinctive_terms(words: DataFrame, score, top: int = 3, least_df: int = 2,
     all records never meets in one reducer; of those terms each record keeps its best ``top`` on the spot.
     All other terms meet their spread in a shuffle join, where no key is frequent any more.
     """
-    local = local_frequencies(words).where(F.col("term").rlike(r"\p{L}"))
-    total = words.agg(F.countDistinct("record").alias("n")).first()["n"]
+    # Written once, by record; the spread, the scores and N all read it.
+    every = written(local_frequencies(words))
+    total = every.where(F.col("term").isNull()).count()
+    local = every.where(F.col("term").isNotNull())
     n = F.lit(float(total))
-    spread = settled(term_spread(local).where(F.col("df") >= least_df))
+    spread = written(term_spread(local).where(F.col("df") >= least_df))
     head = F.broadcast(spread.orderBy(F.desc("df"), "term").limit(common))
     known = local.join(head, "term", "left").withColumn("score", score(n))
 
