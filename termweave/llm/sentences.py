@@ -40,7 +40,7 @@ _OPEN = "\"'“‘„«(\\[（「『《¿¡"
 # Possible gaps: behind terminal marks and what closes with them; a Thai blank between two Thai characters.
 _GAP = re.compile(
     rf"[。！？।॥]+[{_CLOSE}]*|[{_END}]+(?:\s*»|[{_CLOSE}])*(?=\s|[{_OPEN}]|[^\W\d_a-z]|[{_HAN}])|(?<=[^\W\d]{{3}})[.!?](?=\d)|(?<=[{_THAI}])\s+(?=[{_THAI}])|(?<=\))\s+(?=\()"
-    rf"|(?<=[{_THAI}])\s+(?=(?:[^\s{_THAI}]+\s+){{3}}[^\s{_THAI}])"
+    rf"|(?<=[{_THAI}])\s+(?=(?:[^\s{_THAI}]+\s+){{3}}[^\s{_THAI}]|[^\s{_THAI}]*[{_HAN}ऀ-ॿЀ-ӿ])"
 )
 # Signs in pairs. A straight quotation mark opens behind a blank or opening sign and closes before a blank, mark or closing sign.
 _QUOTED = re.compile(
