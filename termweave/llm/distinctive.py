@@ -28,10 +28,11 @@ def local_frequencies(words: DataFrame) -> DataFrame:
     One shuffle, of whole rows by record; the frequencies are then counted where the rows lie. Copies of a
     row are told from other rows of the same part by a hash over the whole list of words.
     """
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (
         words.where(F.col("record").isNotNull())
         .select("record", "part", F.xxhash64("words", *[c for c in words.columns if c not in ("words", "record", "part")]).alias("copy"), F.col("words.text").alias("texts"))
-        .repartition("record")
+        .repartition(parts, "record")
         .dropDuplicates(["record", "part", "copy"])
     )
     kept = fold_list(F.filter(F.coalesce("texts", F.array().cast("array<string>")), lambda t: t.isNotNull()))
@@ -68,7 +69,7 @@ def distinctive_terms(words: DataFrame, score, top: int = 3, least_df: int = 2,
     All other terms meet their spread in a shuffle join, where no key is frequent any more.
     """
     # Written once, by record; the spread, the scores and N all read it.
-    every = written(local_frequencies(words))
+    every = written(local_frequencies(words), by="record")
     total = every.where(F.col("term").isNull()).count()
     local = every.where(F.col("term").isNotNull())
     n = F.lit(float(total))

@@ -2,18 +2,22 @@
 
 A record is the set of its runs of ``run`` consecutive terms; two records are similar by the Jaccard index of their sets.
 
-1. Equal sets are one class, represented by the least record id: copies are counted together before anything is joined.
-2. A count sketch of fixed size over all classes estimates how many classes hold a run. All sets are ordered by (estimate,
-   hash), one order for the whole collection, rare runs first.
+1. Equal sets are one class: copies are counted together before anything is joined.
+2. A count sketch over all classes estimates how many classes hold a run. Its size follows the number of classes up to a fixed bound. All sets are
+   ordered by (estimate, hash), one order for the whole collection, rare runs first.
 3. Two sets that overlap in o runs share at least l of them within their first n - o + l, for any l. Each class chooses its own l:
    a longer prefix costs more postings to join, but then l shared runs instead of one are needed before a pair is verified. The estimate
    of both costs comes from the sketch. A pair goes by the smaller l of the two, whose prefix both have sent.
 4. Pairs with enough shared prefix runs, each within the prefix that the two sizes allow, are verified on the whole sets.
 
-No result depends on the estimates: they only order the runs and choose the prefixes.
+A run that many classes send is dealt into chunks, and every chunk meets every chunk as a key of its own, so that no run is one task's work; so are the
+members of a class of many copies when pairs of records are written out.
+
+No result depends on the estimates: they only order the runs, choose the prefixes and deal out the work.
 
 Defined results. Null paragraphs and null or empty abstracts hold no run and match nothing. Equal rows count once. Records with a null id are left
-out. If a record id stands with several abstracts, one of them counts. A run never crosses paragraphs.
+out. A record id that stands with several abstracts is similar to a record if one of them is, and has a class for each. A run never crosses paragraphs.
+Runs are compared by hashes of 40 bits, classes by hashes of 64.
 """
 
 from __future__ import annotations
@@ -30,9 +34,14 @@ from ..functions.text import folded_terms
 from ..plans.stage import settled
 from .leakage import _mixed, shingles
 
-#: Counters of the sketch. Its size is fixed: 4 bytes each, whatever the collection. A task counts each up to 255, which orders as well.
-SKETCH = 1 << 20
+#: Counters of the sketch: 8 for each class, within these bounds. A task counts each up to 65,535. On the driver and in the tasks a counter is
+#: one byte, twelve steps to a doubling, so at most 16 MB whatever the collection.
+LEAST_SKETCH, LARGEST_SKETCH = 1 << 16, 1 << 24
+_STEPS = 12
 _SLICES = 16
+_FAN = 64  # sketches merged at once
+#: Postings of a run, and members of a class, that meet in one task.
+HOT = 4096
 _BYTES = 5  # of a run's hash in a stored set
 _LONGEST = 8  # largest l
 _VERIFY = 12.0  # cost of verifying a pair, in joined postings
@@ -98,47 +107,91 @@ def run_sets(records: DataFrame, run: int = 3) -> DataFrame:
     return rows.mapInArrow(_building(run), SETS)
 
 
-def _bucket(values: np.ndarray) -> np.ndarray:
-    return (_mixed(values) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _bucket(values: np.ndarray, size: int) -> np.ndarray:
+    return (_mixed(values) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        values, _ = _unpacked(batch.column(0).to_pylist())
-        found = np.bincount(_bucket(values), minlength=SKETCH)
-        total = found if total is None else total + found
-    if total is not None:
-        parts = np.minimum(total, 255).astype(np.uint8).reshape(_SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+def _counting(size: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, held = None, [], 0
+        for batch in batches:
+            values, _ = _unpacked(batch.column(0).to_pylist())
+            waiting.append(_bucket(values, size))
+            held += len(values)
+            if held > size:
+                found = np.bincount(np.concatenate(waiting), minlength=size)
+                total, waiting, held = found if total is None else total + found, [], 0
+        if waiting:
+            found = np.bincount(np.concatenate(waiting), minlength=size)
+            total = found if total is None else total + found
+        if total is not None:
+            parts = np.minimum(total, 65535).astype(np.uint16).reshape(_SLICES, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], ["part", "counts"])
+
+    return count
 
 
 def _add(key, table):
-    total = sum(np.frombuffer(c, np.uint8).astype(np.int64) for c in table.column("counts").to_pylist())
+    total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in table.column("counts").to_pylist())
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
+def _add_last(key, table):
+    total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in table.column("counts").to_pylist())
+    steps = np.minimum(np.round(_STEPS * np.log2(1.0 + total)), 255).astype(np.uint8)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([steps.tobytes()], pa.binary())})
+
+
 def sketch(classes: DataFrame) -> np.ndarray:
-    """How many classes hold a run of each bucket: an upper estimate for each run, summed over all classes."""
-    parts = classes.select("runs").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary").collect()
-    out = np.zeros((_SLICES, SKETCH // _SLICES), np.int32)
-    for part, counts in parts:
-        out[part] = np.frombuffer(counts, np.int32)
+    """How many classes hold a run of each bucket, in steps of a twelfth of a doubling: an upper estimate for each run, over all classes."""
+    rows = classes.count()
+    size = LEAST_SKETCH
+    while size < min(LARGEST_SKETCH, 8 * rows):
+        size *= 2
+    parts = classes.select("runs").mapInArrow(_counting(size), "part int, counts binary")
+    tasks = classes.rdd.getNumPartitions()
+    while tasks > _FAN:  # a tree, so that no task holds more than a few slices
+        group = F.floor(F.spark_partition_id() / _FAN).alias("of")
+        parts = parts.select("part", "counts", group).groupBy("part", "of").applyInArrow(_add, "part int, counts binary")
+        tasks = -(-tasks // _FAN)
+    found = parts.groupBy("part").applyInArrow(_add_last, "part int, counts binary").collect()
+    out = np.zeros((_SLICES, size // _SLICES), np.uint8)
+    for part, counts in found:
+        out[part] = np.frombuffer(counts, np.uint8)
     return out.ravel()
 
 
-def _posting(shared, threshold: float):
+def _chunked(token: np.ndarray, own: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, role) of every copy of a posting: role 1 meets as the smaller set, 2 as the larger, 3 as both.
+
+    A run of c chunks has c x c keys. A posting of chunk k stands left at the keys (k, j) and right at (i, k), so that every pair meets at one key.
+    """
+    plain = np.flatnonzero(chunks <= 1)
+    rows, keys, roles = [plain], [token[plain].astype(np.uint64)], [np.full(len(plain), 3)]
+    for k in np.flatnonzero(chunks > 1).tolist():
+        c, mine = int(chunks[k]), int(own[k] % np.uint64(chunks[k]))
+        others = np.array([j for j in range(c) if j != mine], np.uint64)
+        base = np.uint64(token[k]) + np.uint64(1 << 32)
+        cells = np.concatenate((np.uint64(mine) * np.uint64(c) + others, others * np.uint64(c) + np.uint64(mine), [np.uint64(mine * c + mine)]))
+        rows.append(np.full(len(cells), k))
+        keys.append(_mixed(base * np.uint64(1 << 20) + cells) & np.uint64(0xFFFFFFFF))
+        roles.append(np.concatenate((np.full(c - 1, 1), np.full(c - 1, 2), [3])))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(roles)
+
+
+def _posting(shared, threshold: float, hot: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        estimates = shared.value
+        steps = shared.value
+        counts = 2.0 ** (np.arange(256) / _STEPS) - 1.0
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
                 part = batch.slice(at, 4000)
                 values, ends = _unpacked(part.column(1).to_pylist())
                 n = np.diff(ends)
                 record = np.repeat(np.arange(len(n)), n)
-                cost = estimates[_bucket(values)]
-                order = np.lexsort((values, cost, record))
-                values, cost = values[order], cost[order].astype(np.float64)
+                step = steps[_bucket(values, len(steps))]
+                order = np.lexsort((values, step, record))
+                values, cost = values[order], counts[step[order]]
                 place = np.arange(len(values)) - ends[record]
                 # What a prefix of length p costs: the estimated postings it meets. A partner of equal size sets the length.
                 upto = np.concatenate(([0.0], np.cumsum(cost)))
@@ -151,10 +204,12 @@ def _posting(shared, threshold: float):
                     best[better], chosen[better] = price[better], level
                 longest = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + chosen
                 sent = place < longest[record]
-                owner = record[sent]
-                token = (values[sent] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                packed = (n[owner] << 32) | (place[sent] << 8) | chosen[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(token), part.column(0).take(pa.array(owner)), pa.array(packed)], ["token", "id", "packed"])
+                owner, place, token = record[sent], place[sent], values[sent] & np.uint64(0xFFFFFFFF)
+                ids = np.asarray(part.column(0))
+                copy, key, role = _chunked(token, _mixed(ids[owner].view(np.uint64)), np.ceil(cost[sent] / hot).astype(np.int64))
+                owner, place = owner[copy], place[copy]
+                packed = (n[owner] << 32) | (place << 8) | (role << 4) | chosen[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.uint32).view(np.int32)), pa.array(ids[owner]), pa.array(packed)], ["token", "id", "packed"])
 
     return post
 
@@ -183,16 +238,17 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of classes with enough shared prefix runs, written to the checkpoint folder.
+def candidates(classes: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
+    """(a, b): pairs of classes with enough shared prefix runs, over rows (id, runs); written to the checkpoint folder.
 
     The postings are shuffled and sorted by run once and kept; both sides of the join read them from there.
     """
     shared = classes.sparkSession.sparkContext.broadcast(sketch(classes))
-    sent = classes.select(F.col("record_id"), "runs").mapInArrow(_posting(shared, threshold), "token int, id bigint, packed bigint")
+    sent = classes.select("id", "runs").mapInArrow(_posting(shared, threshold, hot), "token int, id bigint, packed bigint")
     posts = sent.repartition(_partitions(classes), "token").sortWithinPartitions("token").persist(StorageLevel.MEMORY_AND_DISK)
-    side = posts.select("token", "id", F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("place"), F.col("packed").bitwiseAND(F.lit(0xFF)).alias("level"))
-    x, y = side.alias("x"), side.alias("y")
+    low = F.col("packed").bitwiseAND(F.lit(0xFF))
+    side = posts.select("token", "id", F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("place"), low.bitwiseAND(F.lit(15)).alias("level"), F.shiftright(low, 4).alias("role"))
+    x, y = side.where(F.col("role").bitwiseAND(F.lit(1)) > 0).alias("x"), side.where(F.col("role").bitwiseAND(F.lit(2)) > 0).alias("y")
     overlap = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     level = F.least("x.level", "y.level")
     # The smaller set stands left; of equal sizes, the smaller id.
@@ -206,20 +262,22 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     return found
 
 
-def similar_classes(records: DataFrame, threshold: float, run: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (record_id, class_id) of every record with a run; links (a, b, similarity) between class ids.
+def similar_classes(records: DataFrame, threshold: float, run: int = 3, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (record_id, set, class_id) of every record with a run, a row for each different set of it, where class_id is the least
+    record with an equal set; links (a, b, similarity) between sets.
 
     Both are written to the checkpoint folder. What is kept in between is recomputed if an executor is lost, and let go at the end.
-    Sets travel once, by record id, and once more for the pairs to verify.
+    Runs travel once, by record id, and once more for the pairs to verify.
     """
-    one = F.min(F.struct("first", "second", "n", "runs")).alias("s")
-    ones = run_sets(records, run).groupBy("record_id").agg(one).select("record_id", F.struct("s.first", "s.second", "s.n").alias("set"), F.col("s.runs").alias("runs")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = run_sets(records, run).repartition(_partitions(records), "record_id")
+    ones = rows.groupBy("record_id", F.col("first").alias("set"), "second", "n").agg(F.first("runs").alias("runs")).drop("second", "n").persist(StorageLevel.MEMORY_AND_DISK)
     least = ones.groupBy("set").agg(F.min("record_id").alias("class_id"))
-    members = settled(ones.select("record_id", "set").join(least, "set").select("record_id", "class_id"))
-    stands = members.where(F.col("record_id") == F.col("class_id")).select("record_id")
-    classes = ones.select("record_id", "runs").join(stands, "record_id").persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = candidates(classes, threshold)
-    left, right = classes.select(F.col("record_id").alias("a"), F.col("runs").alias("x")), classes.select(F.col("record_id").alias("b"), F.col("runs").alias("y"))
+    members = settled(ones.select("record_id", "set").join(least, "set").select("record_id", "set", "class_id"))
+    stands = members.where(F.col("record_id") == F.col("class_id")).select("record_id", F.col("set").alias("id"))
+    # By record id alone, along which the runs lie already.
+    classes = ones.join(stands, "record_id").where(F.col("set") == F.col("id")).select("id", "runs").persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = candidates(classes, threshold, hot)
+    left, right = classes.select(F.col("id").alias("a"), F.col("runs").alias("x")), classes.select(F.col("id").alias("b"), F.col("runs").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     links = settled(met.mapInArrow(_verifying(threshold), "a bigint, b bigint, similarity double"))
     ones.unpersist()
@@ -227,22 +285,51 @@ def similar_classes(records: DataFrame, threshold: float, run: int = 3) -> tuple
     return members, links
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.6, run: int = 3) -> DataFrame:
-    """(record_id_a, record_id_b), a < b: every pair of similar records, copies included."""
-    members, links = similar_classes(records, threshold, run)
-    x, y = members.toDF("p", "a"), members.toDF("q", "b")
-    across = links.select("a", "b").join(x, "a").join(y, "b").select("p", "q")
-    inside = x.join(y, F.col("a") == F.col("b")).where(F.col("p") < F.col("q")).select("p", "q")
-    both = across.unionByName(inside)
-    return both.select(F.least("p", "q").alias("record_id_a"), F.greatest("p", "q").alias("record_id_b"))
+_SALTS = 32
+
+
+def _dealt(rows: DataFrame, large: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """The rows with the number of chunks of the class in ``key``, 1 for all but the few large ones. Salted by ``by``, so that a large class is not one task's work."""
+    salted = large.select(F.col("set").alias(key), F.col("chunks").alias(name), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(_SALTS)).cast("int")).join(salted, [key, "salt"], "left")
+    return dealt.withColumn(name, F.coalesce(name, F.lit(1))).drop("salt")
 
 
-def record_classes(records: DataFrame, threshold: float = 0.6, run: int = 3) -> DataFrame:
-    """(record_id, class_id, copies, links): one row for each record that holds a run.
+def similar_pairs(records: DataFrame, threshold: float = 0.6, run: int = 3, hot: int = HOT) -> DataFrame:
+    """(record_id_a, record_id_b), a < b: every pair of similar records, copies included.
+
+    All pairs of copies are asked for. The members of a large class are dealt into chunks, and every two chunks meet under a key of their own.
+    """
+    members, links = similar_classes(records, threshold, run, hot)
+    large = members.groupBy("set").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("set", F.ceil(F.col("n") / hot).cast("int").alias("chunks"))
+    several = members.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("record_id"), F.lit(True).alias("several"))
+    dealt = _dealt(members.select("record_id", "set"), large, "set", "record_id", "chunks").join(several, "record_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.col("record_id"), F.lit(7)), F.col("chunks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    p, q = F.col("record_id").alias("p"), F.col("record_id").alias("q")
+    x = dealt.select(p, "set", F.col("chunk").alias("i"), every.alias("j"), F.col("several").alias("ps"))
+    y = dealt.select(q, "set", every.alias("i"), F.col("chunk").alias("j"), F.col("several").alias("qs"))
+    inside = x.join(y, ["set", "i", "j"]).where(F.col("p") < F.col("q")).select("p", "q", (F.col("ps") | F.col("qs")).alias("twice"))
+    ends = _dealt(_dealt(links.select("a", "b"), large, "a", "b", "ca"), large, "b", "a", "cb")
+    ends = ends.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("i"), "cb").select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("j"))
+    left = dealt.select(p, F.col("set").alias("a"), F.col("chunk").alias("i"), F.col("several").alias("ps"))
+    right = dealt.select(q, F.col("set").alias("b"), F.col("chunk").alias("j"), F.col("several").alias("qs"))
+    across = ends.join(left, ["a", "i"]).join(right, ["b", "j"]).where(F.col("p") != F.col("q")).select("p", "q", (F.col("ps") | F.col("qs")).alias("twice"))
+    both = inside.unionByName(across).select(F.least("p", "q").alias("record_id_a"), F.greatest("p", "q").alias("record_id_b"), "twice")
+    # Only records with several abstracts can meet twice.
+    return both.where(~F.col("twice")).drop("twice").unionByName(both.where("twice").drop("twice").distinct())
+
+
+def record_classes(records: DataFrame, threshold: float = 0.6, run: int = 3, hot: int = HOT) -> DataFrame:
+    """(record_id, class_id, copies, links): one row for each record that holds a run (for each of its different abstracts, if it has several).
 
     class_id is the least record with an equal set, copies the size of its class, links the number of other classes similar to it.
     """
-    members, links = similar_classes(records, threshold, run)
-    sizes = members.groupBy("class_id").agg(F.count("*").alias("copies"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    return members.join(sizes.join(ends, "class_id", "left"), "class_id").select("record_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    members, links = similar_classes(records, threshold, run, hot)
+    sizes = members.groupBy("set", "class_id").agg(F.count("*").alias("copies"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("links"))
+    known = sizes.join(ends, "set", "left").select("set", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > hot, _SALTS - 1).otherwise(0))))
+    large = known.where(F.col("copies") > hot).select("set", F.lit(_SALTS).alias("chunks"))
+    dealt = _dealt(members, large, "set", "record_id", "chunks").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.col("chunks")).cast("int"))
+    return dealt.join(salted, ["set", "salt"]).select("record_id", "class_id", "copies", "links")

@@ -46,6 +46,36 @@ def test_similar_pairs_equal_brute_force(records):
     assert near_duplicates.similar_pairs(records.limit(0)).count() == 0
 
 
+def test_hot_runs_copies_and_several_abstracts(spark):
+    """A third of all records are copies, all share runs, some have two abstracts; every chunk holds 4."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    common = "the same words stand in all of them"
+    rows = [(k, [common + " and nothing else"]) for k in range(40)]
+    rows += [(100 + k, [common, " ".join(draw.choice(words) for _ in range(draw.randint(3, 9)))]) for k in range(60)]
+    rows += [(100 + k, [common]) for k in range(0, 60, 9)] + [(3, [common])] + [(200 + k, [common + " and nothing more"]) for k in range(9)]
+    df = spark.createDataFrame(rows, RECORDS).withColumn("set", F.lit(1)).withColumn("id", F.lit("x"))
+    held = {}
+    for r, ps in rows:
+        held.setdefault(r, []).append(_runs(ps))
+    for t in (0.6, 0.8):
+        alike = lambda a, b: any(x & y and len(x & y) >= t * len(x | y) - 1e-12 for x in held[a] for y in held[b])
+        want = {(a, b) for a, b in itertools.combinations(sorted(held), 2) if alike(a, b)}
+        got = [tuple(r) for r in near_duplicates.similar_pairs(df, t, hot=4).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 900
+    classes = near_duplicates.record_classes(df, 0.8, hot=4).collect()
+    assert Counter(r["class_id"] for r in classes)[0] == 40 and len(classes) == len({(r, str(s)) for r, many in held.items() for s in many if s})
+
+
+def test_sketches_merge_in_a_tree(spark, monkeypatch):
+    df = spark.createDataFrame([(k, [f"a b c d{k % 5} e"]) for k in range(200)], RECORDS).repartition(9)
+    sets = near_duplicates.run_sets(df).select("runs")
+    flat = near_duplicates.sketch(sets)
+    monkeypatch.setattr(near_duplicates, "_FAN", 2)
+    assert (near_duplicates.sketch(sets) == flat).all() and near_duplicates.sketch(sets.limit(0)).sum() == 0
+    assert sorted(2.0 ** (flat[flat > 0] / 12.0) - 1)[-1] > 190
+
+
 def test_term_counts(records, spark, monkeypatch):
     want, held, seen = Counter(), {}, set()
     rows = [tuple(r) for r in records.collect()] + [(0, ["w1 other words"]), (None, ["w2 w2"]), (None, ["w2 w3"])]
