@@ -1,7 +1,7 @@
 """Search over the token table: words, phrases, sentences, proximity, literal text; results deduplicated, ranked, with context.
 
-Each search first filters the token table by the query's few terms; only the occurrences left are grouped by sentence. Query terms
-are literals of the plan or a table of as many rows as the query has terms.
+Each search first filters the token table by the query's few terms, as literals that reach the scan; only the occurrences left are grouped by sentence.
+The table of an index lies sorted by base and surface, so a search reads the row groups of its terms.
 """
 
 from __future__ import annotations
@@ -13,12 +13,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import Index
+from .ranks import ranked
+
 TYPES = ("auto", "word", "phrase", "sentence", "literal")
 PLACE = ["document_id", "segment_id", "sentence_index"]
 HIT = ["document_id", "segment_id", "match_type", "match_method", "similarity", "word_position", "char_start", "char_end"]
 _TERM = re.compile(r"\d+(?:[.,]\d+)*(?:[‐‑‒–—-]\d+(?:[.,]\d+)*)?(?:%|[A-Za-z]+)?|[^\W_]+(?:[.'’/‐‑‒–—-][^\W_]+)*%?")
 
 
+def folded(term: str) -> str:
+    return term.lower().replace("ß", "ss")
+
+
 def base_of(term: str) -> str:
     """The base of one surface form, for query terms on the driver."""
     t = term[:-2] if term.endswith("'s") else term
@@ -46,7 +53,7 @@ def query_kind(query: str, n: int) -> str:
 def plan_query(query: str, kind: str = "auto") -> QueryPlan:
     if kind not in TYPES:
         raise ValueError(f"query type {kind!r} is none of {TYPES}")
-    terms = tuple(t.lower().replace("ß", "ss").replace("’", "'").strip() for t in _TERM.findall(query))
+    terms = tuple(folded(t).replace("’", "'").strip() for t in _TERM.findall(query))
     return QueryPlan(query, kind, query_kind(query, len(terms)) if kind == "auto" else kind, terms, tuple(map(base_of, terms)))
 
 
@@ -71,7 +78,9 @@ def _words(rows: DataFrame) -> DataFrame:
 
 def exact_word(tokens: DataFrame, plan: QueryPlan) -> DataFrame:
     """Occurrences whose surface form is the first query term."""
-    found = tokens.where(F.col("surface") == (plan.terms[0] if plan.terms else None))
+    if not plan.terms:
+        return _hits(_words(tokens.where(F.lit(False))), "exact", F.lit("exact_word"), F.lit(1.0))
+    found = tokens.where((F.col("base") == plan.bases[0]) & (F.col("surface") == plan.terms[0]))
     return _hits(_words(found), "exact", F.lit("exact_word"), F.lit(1.0))
 
 
@@ -80,7 +89,7 @@ def related_word(tokens: DataFrame, plan: QueryPlan, least: int = 4) -> DataFram
     q, b = (plan.terms[0], plan.bases[0]) if plan.terms else ("", "")
     other = F.col("surface") != q
     longer = F.col("base").startswith(b) if len(b) >= least else F.lit(False)
-    shorter = (F.length("base") >= least) & F.lit(b).startswith(F.col("base"))
+    shorter = F.col("base").isin([b[:k] for k in range(least, len(b) + 1)]) if len(b) >= least else F.lit(False)
     found = tokens.where(F.lit(bool(q)) & other & ((F.col("base") == b) | longer | shorter))
     same = F.col("base") == b
     ratio = F.least(F.length("base"), F.lit(len(b))) / F.greatest(F.length("base"), F.lit(len(b)))
@@ -91,7 +100,8 @@ def _anchored(tokens: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     """Runs of tokens equal to the terms in order: every occurrence votes for the place where its run would start; one grouping instead of a join for each term."""
     spark = tokens.sparkSession
     query = spark.createDataFrame(list(enumerate(terms)), "j int, q string")
-    met = tokens.where(F.col("surface").isin(*set(terms))).join(F.broadcast(query), F.col("surface") == F.col("q"))
+    # As many rows as the query has terms.
+    met = tokens.where(F.col("base").isin(*{base_of(t) for t in terms}) & F.col("surface").isin(*set(terms))).join(F.broadcast(query), F.col("surface") == F.col("q"))
     runs = met.groupBy(*PLACE, (F.col("word_index") - F.col("j")).alias("anchor")).agg(F.count("*").alias("k"), F.min("global_word_index").alias("word_position"), F.min("g_start").alias("char_start"), F.max("g_end").alias("char_end"))
     return runs.where(F.col("k") == len(terms))
 
@@ -168,8 +178,9 @@ def literal_pattern(query: str) -> str:
     return "(?i)" + r"\s+".join(re.sub(r"([^\w\s])", r"\\\1", part) for part in query.split())
 
 
-def literal(segments: DataFrame, plan: QueryPlan) -> DataFrame:
-    """Non-overlapping occurrences of the query's text within segments; tokens do not matter."""
+def literal(segments: DataFrame, plan: QueryPlan, tokens: DataFrame | None = None) -> DataFrame:
+    """Non-overlapping occurrences of the query's text within segments; tokens do not matter. With the token table, each hit has the position of
+    the word that holds its start, else of the first word it overlaps."""
     pattern = literal_pattern(plan.query)
     rows = segments.where(F.col("text").rlike(pattern) & F.lit(bool(plan.query.strip())))
     found, gaps = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
@@ -177,8 +188,21 @@ def literal(segments: DataFrame, plan: QueryPlan) -> DataFrame:
     rows = rows.select("document_id", "segment_id", "seg_start", pieces)
     order = Window.partitionBy("document_id", "segment_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("seg_start") + F.sum(F.col("p.gap") + F.length("p.m")).over(order)
-    found = rows.select("document_id", "segment_id", F.lit(None).cast("bigint").alias("word_position"), (end - F.length("p.m")).alias("char_start"), end.alias("char_end"))
-    return _hits(found, "exact", F.lit("literal"), F.lit(1.0))
+    spans = rows.select("document_id", "segment_id", (end - F.length("p.m")).alias("char_start"), end.alias("char_end"))
+    return _hits(with_word(spans, tokens), "exact", F.lit("literal"), F.lit(1.0))
+
+
+def with_word(spans: DataFrame, tokens: DataFrame | None) -> DataFrame:
+    """Spans (document_id, segment_id, char_start, char_end) with the position of their word, null if they meet none.
+
+    Words do not overlap and come in order, so the first that overlaps the span is the one that holds its start, if one does.
+    """
+    if tokens is None:
+        return spans.withColumn("word_position", F.lit(None).cast("bigint"))
+    words = tokens.select("document_id", "segment_id", "g_start", "g_end", "global_word_index")
+    met = (F.col("s.document_id") == F.col("w.document_id")) & (F.col("s.segment_id") == F.col("w.segment_id")) & (F.col("w.g_start") < F.col("s.char_end")) & (F.col("w.g_end") > F.col("s.char_start"))
+    keys = [F.col(f"s.{c}").alias(c) for c in ("document_id", "segment_id", "char_start", "char_end")]
+    return spans.alias("s").join(words.alias("w"), met, "left").groupBy(*keys).agg(F.min("global_word_index").alias("word_position"))
 
 
 def search(segments: DataFrame, sentences: DataFrame, tokens: DataFrame, plan: QueryPlan, extra: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -191,9 +215,9 @@ def search(segments: DataFrame, sentences: DataFrame, tokens: DataFrame, plan: Q
     elif plan.kind == "sentence":
         exact, related = exact_sentence(tokens, sentences, plan), approximate_sentence(tokens, plan)
     else:
-        exact, related = literal(segments, plan), none
+        exact, related = literal(segments, plan, tokens), none
     if plan.requested == "auto" and plan.kind != "literal" and exact.isEmpty() and related.isEmpty():
-        exact, related = literal(segments, plan), none
+        exact, related = literal(segments, plan, tokens), none
     return exact, related
 
 
@@ -209,14 +233,12 @@ def without_overlaps(related: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def results(exact: DataFrame, related: DataFrame) -> DataFrame:
-    """Both kinds of hits deduplicated, overlaps removed, ranked: exact first by place, then related by similarity and place.
-
-    Ranks run over all hits of a query; they are made in one place, as a page of results is.
-    """
+    """Both kinds of hits deduplicated, overlaps removed, ranked: exact first by place, then related by similarity and place. Ranks are made by ranges."""
     exact = unique_hits(exact)
     both = exact.unionByName(without_overlaps(unique_hits(related), exact))
-    order = Window.partitionBy().orderBy(F.when(F.col("match_type") == "exact", 0).otherwise(1), F.when(F.col("match_type") == "exact", 0.0).otherwise(-F.col("similarity")), "document_id", "char_start", "char_end", "match_method")
-    return both.withColumn("result_rank", F.row_number().over(order))
+    exactly = F.col("match_type") == "exact"
+    order = [F.when(exactly, 0).otherwise(1).asc(), F.when(exactly, 0.0).otherwise(-F.col("similarity")).asc(), *(F.asc(c) for c in ("document_id", "char_start", "char_end", "match_method"))]
+    return ranked(both, [], order, "result_rank")
 
 
 def with_context(hits: DataFrame, sentences: DataFrame, segments: DataFrame, around: int = 120) -> DataFrame:
@@ -231,24 +253,53 @@ def with_context(hits: DataFrame, sentences: DataFrame, segments: DataFrame, aro
     return met.select(*hits.columns, matched.alias("matched_text"), F.coalesce("sentence", near).alias("context"))
 
 
-def document_results(ranked: DataFrame) -> DataFrame:
+def document_results(hits: DataFrame) -> DataFrame:
     """Hits by document: counts, best similarity, rank by exact, all, id."""
     exact = F.count_if(F.col("match_type") == "exact")
-    rows = ranked.groupBy("document_id").agg(exact.alias("exact_count"), (F.count("*") - exact).alias("related_count"), F.count("*").alias("total_count"), F.max("similarity").alias("max_similarity"))
-    return rows.withColumn("document_rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("exact_count"), F.desc("total_count"), "document_id")))
+    rows = hits.groupBy("document_id").agg(exact.alias("exact_count"), (F.count("*") - exact).alias("related_count"), F.count("*").alias("total_count"), F.max("similarity").alias("max_similarity"))
+    return ranked(rows, [], [F.desc("exact_count"), F.desc("total_count"), F.asc("document_id")], "document_rank")
 
 
-def summary(ranked: DataFrame) -> DataFrame:
+def summary(hits: DataFrame) -> DataFrame:
     exact = F.count_if(F.col("match_type") == "exact")
-    return ranked.agg(F.countDistinct("document_id").alias("documents_found"), exact.alias("exact_results"), (F.count("*") - exact).alias("related_results"), F.count("*").alias("total_results"))
+    return hits.agg(F.countDistinct("document_id").alias("documents_found"), exact.alias("exact_results"), (F.count("*") - exact).alias("related_results"), F.count("*").alias("total_results"))
 
 
 def page(documents: DataFrame, number: int, size: int = 10) -> DataFrame:
-    """One page of ranked documents."""
-    first = max(0, number - 1) * size
+    """One page of ranked documents; a number before the first or behind the last page gives that page."""
+    size = max(1, size)
+    last = -(-(documents.agg(F.max("document_rank")).first()[0] or 0) // size)
+    first = (max(1, min(number, max(1, last))) - 1) * size
     return documents.where(F.col("document_rank").between(first + 1, first + size))
 
 
+@dataclass(frozen=True)
+class Found:
+    """What a search gives: its plan, all hits with context and rank, documents by rank, one row of counts."""
+
+    plan: QueryPlan
+    hits: DataFrame
+    documents: DataFrame
+    summary: DataFrame
+
+
+def run_search(index: Index, query: str, kind: str = "auto", extra: int = 2) -> Found:
+    """A whole search over an index: plan, retrieval, deduplication, overlaps, ranks, context, documents. No query term gives empty results."""
+    plan = plan_query(query, kind)
+    exact, related = search(index.segments, index.sentences, index.tokens, plan, extra)
+    hits = results(exact, related)
+    return Found(plan, with_context(hits, index.sentences, index.segments), document_results(hits), summary(hits))
+
+
+def with_metadata(rows: DataFrame, documents: DataFrame, *ids: str) -> DataFrame:
+    """Rows with a document_id joined to the metadata of the document that bears it under any of its ids (pmcid, pmid, filename); empty ids bear nothing."""
+    keys = F.array_distinct(F.filter(F.array(*[F.col(i).cast("string") for i in ids]), lambda k: k.isNotNull() & (k != "")))
+    named = documents.withColumn("document_id", F.explode(keys))
+    # Of several documents under one id the last by its own ids counts.
+    last = named.groupBy("document_id").agg(F.max(F.struct(*ids, *[c for c in documents.columns if c not in ids])).alias("m"))
+    return rows.join(last, "document_id", "left").select(*rows.columns, *[F.col(f"m.{c}").alias(c) for c in documents.columns if c not in rows.columns])
+
+
 def highlighted(text: Column, matched: str) -> Column:
     """The first occurrence, whatever its case, between marks; the rest escaped for HTML."""
 

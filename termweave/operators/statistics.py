@@ -1,6 +1,7 @@
 """Zipf tables and fits, IDF and TF-IDF, significant words, condition and domain comparisons.
 
-Every window is partitioned by condition or works on the vocabulary, never on tokens.
+Ranks are made by ranges (`ranks.ranked`): no task sorts the vocabulary of a condition. Windows are left only where a
+filter on a small rank stands above them, which Spark turns into the best k of each partition before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -8,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def zipf_table(stats: DataFrame) -> DataFrame:
     """Rank, probability, rank times frequency and logarithms of every term, by condition; ties by term."""
-    order = Window.partitionBy("condition").orderBy(F.desc("cf"), "term")
-    total = F.sum("cf").over(Window.partitionBy("condition"))
-    rows = stats.where(F.col("cf") > 0).select("condition", "term", F.row_number().over(order).alias("rank"), F.col("cf").alias("frequency"), (F.col("cf") / total).alias("probability"))
+    seen = stats.where(F.col("cf") > 0).select("condition", "term", F.col("cf").alias("frequency"))
+    rows = ranked(seen, ["condition"], [F.desc("frequency"), F.asc("term")], "rank")
+    total = F.broadcast(rows.groupBy("condition").agg(F.sum("frequency").alias("total")))
+    rows = rows.join(total, "condition").select("condition", "term", "rank", "frequency", (F.col("frequency") / F.col("total")).alias("probability"))
     return rows.select("*", (F.col("rank") * F.col("frequency")).alias("rank_frequency"), F.log10("rank").alias("log_rank"), F.log10("frequency").alias("log_frequency"))
 
 
@@ -35,9 +39,9 @@ def fitted(rows: DataFrame, *keys: str) -> DataFrame:
 
 def regions(table: DataFrame) -> DataFrame:
     """The rank table with the third each rank lies in."""
-    n = F.count("*").over(Window.partitionBy("condition"))
-    name = F.when(F.col("rank") <= F.ceil(n / 3), "high").when(F.col("rank") <= F.ceil(2 * n / 3), "middle").otherwise("low")
-    return table.withColumn("region", name)
+    sizes = F.broadcast(table.groupBy("condition").agg(F.max("rank").alias("n")))
+    name = F.when(F.col("rank") <= F.ceil(F.col("n") / 3), "high").when(F.col("rank") <= F.ceil(2 * F.col("n") / 3), "middle").otherwise("low")
+    return table.join(sizes, "condition").withColumn("region", name).drop("n")
 
 
 def best_region(fits: DataFrame) -> DataFrame:
@@ -47,10 +51,9 @@ def best_region(fits: DataFrame) -> DataFrame:
 
 
 def frequency_summary(stats: DataFrame) -> DataFrame:
-    top = F.max_by("term", F.struct(F.col("cf"), -F.col("order")))
-    ranked = stats.withColumn("order", F.row_number().over(Window.partitionBy("condition").orderBy(F.desc("cf"), "term")))
-    return ranked.groupBy("condition").agg(
-        F.sum("cf").alias("total_tokens"), F.count("*").alias("vocabulary"), F.count_if(F.col("cf") == 1).alias("singletons"), (F.count_if(F.col("cf") == 1) / F.count("*")).alias("singleton_ratio"), top.alias("most_common"), F.max("cf").alias("most_common_frequency")
+    first = F.min(F.struct((-F.col("cf")).alias("cf"), "term"))["term"]
+    return stats.groupBy("condition").agg(
+        F.sum("cf").alias("total_tokens"), F.count("*").alias("vocabulary"), F.count_if(F.col("cf") == 1).alias("singletons"), (F.count_if(F.col("cf") == 1) / F.count("*")).alias("singleton_ratio"), first.alias("most_common"), F.max("cf").alias("most_common_frequency")
     )
 
 
@@ -73,36 +76,107 @@ def top_terms(stats: DataFrame, k: int) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def document_tfidf(counts: DataFrame, stats: DataFrame, n: float, normalised: bool = False) -> DataFrame:
-    """(document_id, term, tf, idf, tf_idf): raw or length-normalised term frequency times IDF."""
-    total = F.sum("n").over(Window.partitionBy("document_id"))
-    tf = F.col("n") / total if normalised else F.col("n").cast("double")
-    rows = counts.select("document_id", "term", tf.alias("tf")).join(stats.select("term", "df"), "term")
-    value = idf(F.lit(float(n)), F.col("df"))
-    return rows.select("document_id", "term", F.round("tf", 9).alias("tf"), F.round(value, 9).alias("idf"), F.round(F.col("tf") * value, 9).alias("tf_idf"))
+#: The most widely held terms, whose statistics go to every task instead of being joined by term. A constant, whatever the collection.
+COMMON = 20_000
+
+
+def with_df(counts: DataFrame, stats: DataFrame, common: int = COMMON) -> DataFrame:
+    """Rows of (document_id, term, ...) with the document frequency of their term, over (term, df): terms held by many documents never meet in one task.
+
+    The statistics of the ``common`` most widely held terms are sent along; the rows of all other terms meet theirs in a shuffle join.
+    """
+    head = F.broadcast(stats.select("term", "df").orderBy(F.desc("df"), "term").limit(common))
+    known = counts.join(head, "term", "left")
+    rest = known.where(F.col("df").isNull()).drop("df").join(stats.select("term", "df"), "term")
+    return known.where(F.col("df").isNotNull()).unionByName(rest)
+
+
+def document_tfidf(counts: DataFrame, stats: DataFrame, n: float, normalised: bool = False, terms: list[str] | None = None, base: float = 10.0, document: str | None = None) -> DataFrame:
+    """(document_id, term, tf, idf, tf_idf): raw or length-normalised term frequency times IDF.
+
+    terms: only these, folded; document: only this one, ValueError if the collection has none of that id.
+    """
+    if document is not None:
+        counts = counts.where(F.col("document_id") == document)
+        if counts.isEmpty():
+            raise ValueError(f"unknown document {document!r}")
+    lengths = counts.groupBy("document_id").agg(F.sum("n").alias("total")) if normalised else None
+    rows = counts.select("document_id", "term", "n")
+    if terms is not None:
+        rows = rows.where(F.col("term").isin([t.lower().replace("ß", "ss") for t in terms]))
+    tf = F.col("n") / F.col("total") if normalised else F.col("n").cast("double")
+    rows = rows.join(lengths, "document_id") if normalised else rows
+    value = idf(F.lit(float(n)), F.col("df"), base)
+    met = with_df(rows.select("document_id", "term", tf.alias("tf")), stats)
+    return met.select("document_id", "term", F.round("tf", 9).alias("tf"), F.round(value, 9).alias("idf"), F.round(F.col("tf") * value, 9).alias("tf_idf"))
 
 
 def significant_words(stats: DataFrame, n: float, k: int = 20) -> DataFrame:
     """Terms by log10(1 + cf) * idf, with their rank by frequency; ties by that rank, then by term."""
-    by_cf = Window.partitionBy("condition").orderBy(F.desc("cf"), F.desc("df"), "term")
-    rows = stats.withColumn("frequency_rank", F.row_number().over(by_cf)).withColumn("score", F.round(F.log10(1 + F.col("cf")) * idf(F.lit(float(n)), F.col("df")), 9))
+    rows = ranked(stats, ["condition"], [F.desc("cf"), F.desc("df"), F.asc("term")], "frequency_rank")
+    rows = rows.withColumn("score", F.round(F.log10(1 + F.col("cf")) * idf(F.lit(float(n)), F.col("df")), 9))
     order = Window.partitionBy("condition").orderBy(F.desc("score"), "frequency_rank", "term")
     return rows.withColumn("significance_rank", F.row_number().over(order)).where(F.col("significance_rank") <= k)
 
 
-def resolving_curve(ranks: DataFrame, low: float, high: float) -> DataFrame:
-    """The conceptual curve of resolving power over ranks: a hump between two cut-offs, steeper on its left, with a maximum of 1."""
+# Exponents and widths of the two sides of the curve; the default cut-offs.
+LEFT_POWER, LEFT_WIDTH, RIGHT_POWER, RIGHT_WIDTH = 2.2, 1.35, 1.8, 0.90
+UPPER, LOWER = 0.05, 0.25
+
+
+def resolving_curve(ranks: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """The conceptual curve of resolving power over ranks: a hump between two cut-offs, steeper on its left, with a maximum of 1.
+
+    The cut-offs are put in order and kept within 1 and the last rank; the lower one stays below the upper. Without cut-offs they are a twentieth and a quarter of the ranks.
+    """
+    last = ranks.agg(F.max("rank")).first()[0] or 1
+    low, high = (max(1, round(last * UPPER)) if low is None else low), (max(2, round(last * LOWER)) if high is None else high)
     low, high = min(low, high), max(low, high)
+    low = min(max(1, low), max(1, last - 1))
+    high = min(max(low + 1, high), max(low + 1, last))
     middle, half = (low + high) / 2, max(1.0, (high - low) / 2)
     d = F.col("rank") - middle
-    left = 1 / (1 + F.pow(-d / max(1.0, half / 1.35), F.lit(2.2)))
-    right = 1 / (1 + F.pow(d / max(1.0, half / 0.90), F.lit(1.8)))
+    left = 1 / (1 + F.pow(-d / max(1.0, half / LEFT_WIDTH), F.lit(LEFT_POWER)))
+    right = 1 / (1 + F.pow(d / max(1.0, half / RIGHT_WIDTH), F.lit(RIGHT_POWER)))
     rows = ranks.withColumn("v", F.when(d <= 0, left).otherwise(right))
-    return rows.select("rank", F.round(F.col("v") / F.max("v").over(Window.partitionBy()), 9).alias("resolving_power"))
+    highest = rows.agg(F.max("v")).first()[0]
+    return rows.select("rank", F.round(F.col("v") / F.lit(highest), 9).alias("resolving_power"))
 
 
 def domain_measures(counts: DataFrame) -> DataFrame:
-    """Size measures of each domain over (domain, document_id, term, n)."""
+    """Size and fit of each domain over (domain, document_id, term, n): documents, tokens, vocabulary, average tokens, exponent, R², RMSE."""
     terms = counts.groupBy("domain", "term").agg(F.sum("n").alias("cf"))
-    sizes = terms.groupBy("domain").agg(F.sum("cf").alias("tokens"), F.count("*").alias("vocabulary"), F.count_if(F.col("cf") == 1).alias("singletons"))
-    return sizes.join(counts.groupBy("domain").agg(F.countDistinct("document_id").alias("documents")), "domain")
+    sizes = terms.groupBy("domain").agg(F.sum("cf").alias("tokens"), F.count("*").alias("vocabulary"))
+    docs = counts.groupBy("domain").agg(F.countDistinct("document_id").alias("documents"))
+    fits = fitted(zipf_table(terms.withColumnRenamed("domain", "condition")), "condition").select(F.col("condition").alias("domain"), "zipf_exponent", "r_squared", "rmse")
+    both = sizes.join(docs, "domain").join(fits, "domain", "left")
+    return both.withColumn("average_tokens", F.round(F.col("tokens") / F.col("documents"), 6))
+
+
+# Words that the last resort of representative terms passes over.
+FUNCTION_WORDS = "and the of in to a with for that is were was are as by on or from at be their not an have has this these".split()
+
+
+def representative_terms(stats: DataFrame, asked: list[tuple[str, list[str]]], others: list[str], most: int) -> DataFrame:
+    """(priority, asked, term, cf, df): the asked terms, each by its first spelling that exists, then of the others as many as are missing, then
+    the most frequent terms that are no function words, until there are ``most``; no term twice. ``asked`` is null for the last.
+
+    The lists are a few words; what is read of the statistics is a filter on them and one top list.
+    """
+    names = [t for t, _ in asked] + [x for _, al in asked for x in al] + others
+    known = {r["term"]: r for r in stats.where(F.col("term").isin(names)).select("term", "cf", "df").collect()}
+    rows, taken = [], set()
+    for wanted, spellings in [(t, [t, *al]) for t, al in asked] + [(t, [t]) for t in others]:
+        if wanted in others and wanted not in [t for t, _ in asked] and len(rows) >= most:
+            break
+        found = next((x for x in spellings if x in known and x not in taken), None)
+        if found:
+            taken.add(found)
+            rows.append((wanted, found, known[found]["cf"], known[found]["df"]))
+    rows = rows[:most]
+    if len(rows) < most:
+        left = stats.where(~F.col("term").isin(sorted(taken | set(FUNCTION_WORDS))) & (F.trim("term") != ""))
+        for r in left.orderBy(F.desc("cf"), "term").limit(most - len(rows)).select("term", "cf", "df").collect():
+            rows.append((None, r["term"], r["cf"], r["df"]))
+    numbered = [(i, *r) for i, r in enumerate(rows)]
+    return stats.sparkSession.createDataFrame(numbered, "priority int, asked string, term string, cf bigint, df bigint")

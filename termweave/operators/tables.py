@@ -24,7 +24,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def segments(docs: DataFrame) -> DataFrame:
     """(document_id, segment_id, field, text, seg_start): non-empty normalised lines; seg_start is the offset in the text of all, joined by one sign."""
     lines = F.filter(F.transform(F.split("text", "\n"), T.normal_statistics), lambda x: x != "")
-    rows = docs.select("document_id", F.posexplode(lines).alias("segment_id", "text"))
+    # The one shuffle of all positions: whole texts by document, before they are taken apart.
+    rows = docs.select("document_id", "text").repartition("document_id").select("document_id", F.posexplode(lines).alias("segment_id", "text"))
     before = Window.partitionBy("document_id").orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
     return rows.select("document_id", "segment_id", F.lit("body").alias("field"), "text", start.cast("bigint").alias("seg_start"))
@@ -52,8 +53,7 @@ def tokens(sents: DataFrame) -> DataFrame:
     found, gaps = T.term_list(F.col("text")), F.split("text", T.TERM_PATTERN)
     pairs = F.transform(found, lambda t, i: F.struct(t.alias("t"), F.length(gaps[i]).alias("gap")))
     rows = sents.select("document_id", "segment_id", "sentence_index", F.col("char_start").alias("s"), (F.col("g_start") - F.col("char_start")).alias("seg"), F.posexplode(pairs).alias("i", "p"))
-    # Offsets count from the start of the sentence; partitions by document serve all windows at once.
-    rows = rows.repartition("document_id")
+    # Offsets count from the start of the sentence. Segments lie by document already (their offsets need it), which serves all windows here.
     inside = Window.partitionBy("document_id", "segment_id", "sentence_index").orderBy("i")
     end = F.sum(F.col("p.gap") + F.length("p.t")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("s")
     segment = Window.partitionBy("document_id", "segment_id").orderBy("sentence_index", "i")

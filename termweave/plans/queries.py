@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stem import stemmed
 from ..operators import expansion as E
+from ..operators import index as I
 from ..operators import retrieval as R
 from ..operators import statistics as S
 from ..operators import tables as X
@@ -20,9 +21,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 WORD, PHRASE, SENTENCE, LITERAL = "adults", "shift workers", "Ethical approval was granted by the review board.", "kidney transplant"
-WHOLE = "It cost too much."
+APPROXIMATE = "The calculator was written in JavaScript."
+OVERLAPPING = "at 6"  # stands as it is, and with words in between
+AUTO = "ransplant recip"  # no tokens of the data: found as literal text
 MISSPELT = "obesty treatmnt gastric"
-VECTORS = [3, 7, 11]  # the SQL's
+
 EVERY = 20  # vectors whose id it divides are searched for
 DOCUMENT = "25"
 
@@ -40,12 +43,17 @@ def _n(docs: DataFrame) -> float:
     return float(docs.count())
 
 
-def _stats(spark, d, conditions=X.CONDITIONS):
-    return X.term_stats(X.condition_counts(_docs(spark, d), conditions))
+def _counts(spark, d):
+    return I.counts_of_folder(spark, d)[0]
+
+
+def _stats(spark, d):
+    return I.counts_of_folder(spark, d)[1]
 
 
 def _b(spark, d):
-    return _stats(spark, d, ["B_no_punctuation"])
+    """Term statistics of condition B: those of the index."""
+    return I.of_folder(spark, d).terms.select(F.lit("B_no_punctuation").alias("condition"), "term", "cf", "df")
 
 
 # --- text ---------------------------------------------------------------------------------------------------------
@@ -130,7 +138,8 @@ def sentence_positions(spark, d):
 @query
 def prose_sections(spark, d):
     rows = spark.read.parquet(f"{d}/processed_document.parquet").distinct().where(F.col("text").isNotNull())
-    markers = ["trial registration", "registration number", "registry number", "prospero", "findings"]
+    # Labels of sections that are no prose. "clinical trial registration" and "trial registration number" hold one of them.
+    markers = ["trial registration", "registration number", "registry number", "prospero"]
     label = F.lower(F.coalesce(F.nullif("label", F.lit("")), "nlm_category", F.lit("")))
     return rows.select("document_id", "segment_id", (~label.rlike("|".join(markers))).alias("counted"))
 
@@ -148,8 +157,12 @@ def highlight(spark, d):
 # --- positions and index --------------------------------------------------------------------------------------------
 
 
+def _index(spark, d):
+    return I.of_folder(spark, d)
+
+
 def _tokens(spark, d):
-    return X.corpus(spark, d)[2]
+    return _index(spark, d).tokens
 
 
 @query
@@ -169,36 +182,49 @@ def postings(spark, d):
 
 @query
 def inverted_index(spark, d):
-    counts = _tokens(spark, d).groupBy("term", "document_id").agg(F.count("*").alias("n"))
-    return counts.groupBy("term").agg(F.count("*").alias("document_frequency"), F.sum("n").alias("total_frequency"))
+    return _index(spark, d).terms.groupBy("term").agg(F.max("df").alias("document_frequency"), F.max("cf").alias("total_frequency"))
+
+
+@query
+def posting_lists(spark, d):
+    rows = I.posting_lists(_index(spark, d))
+    return rows.select("term", "document_id", "frequency", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
 
 
 @query
 def lookup_term(spark, d):
-    return _tokens(spark, d).where(F.col("term") == WORD).select("document_id", "segment_id", "word_index", "g_start")
+    return I.lookup(_index(spark, d), WORD).select("document_id", "segment_id", "word_index", "g_start")
 
 
 @query
 def validate_index(spark, d):
-    segs, _, toks = X.corpus(spark, d)
-    words = segs.select(F.size(T.term_list(F.col("text"))).alias("n")).agg(F.sum("n").alias("words"))
-    posts = toks.groupBy("term", "document_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("postings"))
-    return words.join(posts, how="cross").select("words", "postings", (F.col("words") == F.col("postings")).alias("equal"))
+    index = _index(spark, d)
+    words = index.segments.agg(F.sum(F.size(T.term_list(F.col("text")))).alias("words"))
+    posts = index.terms.agg(F.sum("cf").alias("postings"))
+    # Two rows of one number each.
+    one = words.select("words", F.lit(None).cast("bigint").alias("postings")).unionByName(posts.select(F.lit(None).cast("bigint").alias("words"), "postings"))
+    return one.agg(F.max("words").alias("words"), F.max("postings").alias("postings")).select("words", "postings", (F.col("words") == F.col("postings")).alias("equal"))
 
 
 @query
 def validate_positions(spark, d):
-    segs, _, toks = X.corpus(spark, d)
-    met = toks.select("document_id", "segment_id", "char_start", F.col("text").alias("token")).join(segs.select("document_id", "segment_id", "text"), ["document_id", "segment_id"])
-    return met.where(F.expr("substring(text, cast(char_start AS int) + 1, length(token)) <> token")).select("document_id", "segment_id", "token")
+    """Words and sentences that are not found where their positions say, in the segment and in the whole text; none is right."""
+    index = _index(spark, d)
+    segs = index.segments.select("document_id", "segment_id", F.col("text").alias("segment"), "seg_start")
+    words = index.tokens.select("document_id", "segment_id", F.col("text").alias("token"), "char_start", "char_end", "g_start", "g_end")
+    sents = index.sentences.select("document_id", "segment_id", F.col("text").alias("token"), "char_start", "char_end", "g_start", "g_end")
+    met = words.unionByName(sents).join(segs, ["document_id", "segment_id"])
+    own = F.expr("substring(segment, cast(char_start AS int) + 1, cast(char_end - char_start AS int)) <> token")
+    shifted = (F.col("g_start") != F.col("seg_start") + F.col("char_start")) | (F.col("g_end") != F.col("seg_start") + F.col("char_end"))
+    return met.where(own | shifted).select("document_id", "segment_id", "token")
 
 
 @query
 def index_summary(spark, d):
-    counts = X.counted(_docs(spark, d), "B")
-    terms = counts.groupBy("term").agg(F.sum("n").alias("cf"))
-    docs = counts.agg(F.countDistinct("document_id").alias("documents"))
-    return terms.agg(F.count("*").alias("unique_terms"), F.sum("cf").alias("total_terms")).join(docs, how="cross").select("documents", "unique_terms", "total_terms", F.round(F.col("total_terms") / F.col("documents"), 6).alias("average_terms"))
+    index = _index(spark, d)
+    terms = index.terms.agg(F.countDistinct("term").alias("unique_terms"), F.sum("cf").alias("total_terms"))
+    docs = index.tokens.agg(F.countDistinct("document_id").alias("documents")).first()["documents"]
+    return terms.select(F.lit(docs).alias("documents"), "unique_terms", "total_terms", F.round(F.col("total_terms") / F.lit(docs), 6).alias("average_terms"))
 
 
 @query
@@ -251,8 +277,8 @@ def freq_spectrum(spark, d):
 
 @query
 def condition_summary(spark, d):
-    counts = X.condition_counts(_docs(spark, d))
-    terms = X.term_stats(counts).groupBy("condition").agg(F.sum("cf").alias("total_tokens"), F.count("*").alias("vocabulary"))
+    counts = _counts(spark, d)
+    terms = _stats(spark, d).groupBy("condition").agg(F.sum("cf").alias("total_tokens"), F.count("*").alias("vocabulary"))
     docs = counts.groupBy("condition").agg(F.countDistinct("document_id").alias("documents"))
     return terms.join(docs, "condition").select("condition", "total_tokens", "vocabulary", "documents", F.round(F.col("total_tokens") / F.col("documents"), 6).alias("average_tokens"))
 
@@ -264,23 +290,22 @@ def cf_df(spark, d):
 
 @query
 def doc_token_counts(spark, d):
-    return X.condition_counts(_docs(spark, d)).groupBy("condition", "document_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
+    return _counts(spark, d).groupBy("condition", "document_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"))
 
 
 @query
 def preprocess_compare(spark, d):
     rows = condition_summary(spark, d).select("condition", "total_tokens", "vocabulary")
-    w = Window.partitionBy().orderBy("condition")
+    w = Window.partitionBy().orderBy("condition")  # over the four conditions
     first, last = F.first("total_tokens").over(w), F.lag("total_tokens").over(w)
     return rows.select("condition", "total_tokens", "vocabulary", (F.col("total_tokens") - first).alias("change_from_a"), (F.col("total_tokens") - last).alias("change_from_previous"))
 
 
 @query
 def porter_corpus(spark, d):
-    counts = X.counted(_docs(spark, d), "B")
-    plain = counts.select("term").distinct().agg(F.count("*").alias("vocabulary"))
-    stems = X.restemmed(counts).select("term").distinct().agg(F.count("*").alias("stemmed_vocabulary"))
-    return plain.join(stems, how="cross").select("vocabulary", "stemmed_vocabulary", F.round(1 - F.col("stemmed_vocabulary") / F.col("vocabulary"), 6).alias("reduction_ratio"))
+    terms = _b(spark, d).select("term")
+    stems = X.stem_map(terms).where(F.col("stem") != "")
+    return stems.agg(F.count("*").alias("vocabulary"), F.countDistinct("stem").alias("stemmed_vocabulary")).select("vocabulary", "stemmed_vocabulary", F.round(1 - F.col("stemmed_vocabulary") / F.col("vocabulary"), 6).alias("reduction_ratio"))
 
 
 @query
@@ -292,7 +317,7 @@ def porter_zipf(spark, d):
 
 @query
 def porter_demo(spark, d):
-    counts = X.condition_counts(_docs(spark, d), ["C_no_stopwords", "D_porter"])
+    counts = _counts(spark, d).where(F.col("condition").isin("C_no_stopwords", "D_porter"))
     sizes = X.term_stats(counts).groupBy("condition").agg(F.sum("cf").alias("tokens"), F.count("*").alias("types"))
     one = sizes.groupBy().pivot("condition", ["C_no_stopwords", "D_porter"]).agg(F.first("tokens").alias("tokens"), F.first("types").alias("types"))
     return one.select(F.col("C_no_stopwords_tokens").alias("tokens_before"), F.col("D_porter_tokens").alias("tokens_after"), F.col("C_no_stopwords_types").alias("types_before"), F.col("D_porter_types").alias("types_after"))
@@ -352,9 +377,8 @@ def term_across_conditions(spark, d):
 
 
 def _tfidf(spark, d, normalised):
-    docs = _docs(spark, d)
-    counts = X.condition_counts(docs, ["B_no_punctuation"])
-    return S.document_tfidf(counts, X.term_stats(counts), _n(docs), normalised)
+    counts = _counts(spark, d).where(F.col("condition") == "B_no_punctuation")
+    return S.document_tfidf(counts, _b(spark, d), _n(_docs(spark, d)), normalised)
 
 
 @query
@@ -401,13 +425,13 @@ def top50_windows(spark, d):
     return S.zipf_table(_b(spark, d)).where("rank <= 50").select("rank", "term", "frequency", F.floor((F.col("rank") - 1) / 10).alias("window"))
 
 
+ASKED = [("obesity", []), ("agonists", ["agonist"]), ("adults", []), ("studies", ["study"]), ("liver", []), ("randomised", ["randomized"]), ("weeks", []), ("zzz", ["zzzz", "diabetes"]), ("nosuchterm", [])]
+OTHERS = ["obesity", "pressure", "neverseen", "body"]
+
+
 @query
 def representative_terms(spark, d):
-    asked = [("obesity", []), ("agonists", ["agonist"]), ("adults", []), ("studies", ["study"]), ("liver", []), ("randomised", ["randomized"]), ("weeks", []), ("zzz", ["zzzz", "diabetes"])]
-    table = spark.createDataFrame([(i, t, j, x) for i, (t, al) in enumerate(asked) for j, x in enumerate([t, *al])], "priority int, asked string, choice int, term string")
-    met = _b(spark, d).select("term", "cf", "df").join(F.broadcast(table), "term")
-    one = met.withColumn("k", F.row_number().over(Window.partitionBy("priority").orderBy("choice"))).where("k = 1")
-    return one.select("priority", "asked", "term", "cf", "df")
+    return S.representative_terms(_b(spark, d).select("term", "cf", "df"), ASKED, OTHERS, 12)
 
 
 def _domains(spark, d):
@@ -418,8 +442,9 @@ def _domains(spark, d):
 
 @query
 def domain_compare(spark, d):
+    measures = ("documents", "tokens", "vocabulary", "average_tokens", "zipf_exponent", "r_squared", "rmse")
     sizes = S.domain_measures(_domains(spark, d))
-    long = sizes.select("domain", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("bigint").alias("v")) for m in ("documents", "tokens", "vocabulary", "singletons")])).alias("x")).select("domain", "x.*")
+    long = sizes.select("domain", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures])).alias("x")).select("domain", "x.*")
     return long.groupBy("measure").pivot("domain", ["pubmed_batch", "web_crawl"]).agg(F.first("v"))
 
 
@@ -440,7 +465,7 @@ def detect_query_type(spark, d):
 
 @query
 def search_exact_word(spark, d):
-    return R.exact_word(_tokens(spark, d), R.plan_query(WORD)).drop("similarity")
+    return R.exact_word(_tokens(spark, d), R.plan_query(WORD))
 
 
 @query
@@ -450,7 +475,7 @@ def search_related_word(spark, d):
 
 @query
 def search_exact_phrase(spark, d):
-    return R.exact_phrase(_tokens(spark, d), R.plan_query(PHRASE)).drop("similarity")
+    return R.exact_phrase(_tokens(spark, d), R.plan_query(PHRASE))
 
 
 @query
@@ -460,31 +485,32 @@ def search_related_phrase(spark, d):
 
 @query
 def search_exact_sentence(spark, d):
-    _, sents, toks = X.corpus(spark, d)
-    return R.exact_sentence(toks, sents, R.plan_query("Sampling began at 3 a.m.", "sentence")).drop("similarity")
+    index = _index(spark, d)
+    return R.exact_sentence(index.tokens, index.sentences, R.plan_query("Sampling began at 3 a.m.", "sentence"))
 
 
 @query
 def search_approx_sentence(spark, d):
-    return R.approximate_sentence(_tokens(spark, d), R.plan_query("The protocol was approved before unblinding.", "sentence"))
+    return R.approximate_sentence(_tokens(spark, d), R.plan_query(APPROXIMATE, "sentence"))
 
 
 @query
 def search_literal(spark, d):
-    return R.literal(X.segments(_docs(spark, d)), R.plan_query(LITERAL, "literal")).drop("similarity", "word_position")
+    index = _index(spark, d)
+    return R.literal(index.segments, R.plan_query(LITERAL, "literal"), index.tokens)
 
 
 @query
 def search_auto(spark, d):
-    segs, sents, toks = X.corpus(spark, d)
-    exact, _ = R.search(segs, sents, toks, R.plan_query("ransplan recip"))
-    return exact.select("document_id", "segment_id", "match_method", "char_start", "char_end")
+    index = _index(spark, d)
+    exact, _ = R.search(index.segments, index.sentences, index.tokens, R.plan_query(AUTO))
+    return exact.select("document_id", "segment_id", "match_method", "word_position", "char_start", "char_end")
 
 
-def _phrase_hits(spark, d):
-    segs, sents, toks = X.corpus(spark, d)
-    exact, related = R.search(segs, sents, toks, R.plan_query(PHRASE, "phrase"))
-    return segs, sents, exact, related
+def _phrase_hits(spark, d, phrase=PHRASE):
+    index = _index(spark, d)
+    exact, related = R.search(index.segments, index.sentences, index.tokens, R.plan_query(phrase, "phrase"))
+    return index.segments, index.sentences, exact, related
 
 
 def _ranked(spark, d):
@@ -500,7 +526,7 @@ def unique_hits(spark, d):
 
 @query
 def anti_overlap(spark, d):
-    _, _, exact, related = _phrase_hits(spark, d)
+    _, _, exact, related = _phrase_hits(spark, d, OVERLAPPING)
     return R.without_overlaps(related, exact).select("document_id", "segment_id", "match_method", "similarity", "char_start", "char_end")
 
 
@@ -517,8 +543,21 @@ def hit_context(spark, d):
 
 @query
 def search_results(spark, d):
-    segs, sents, exact, related = _phrase_hits(spark, d)
-    return R.with_context(R.results(exact, related), sents, segs).select("result_rank", "document_id", "match_type", "similarity", "char_start", "char_end", "context")
+    found = R.run_search(_index(spark, d), PHRASE, "phrase")
+    return found.hits.select("result_rank", "document_id", "match_type", "similarity", "char_start", "char_end", "context")
+
+
+@query
+def hit_metadata(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("filename"), "title", "journal", "doc_type")
+    _, _, exact, _ = _phrase_hits(spark, d)
+    return R.with_metadata(exact.select("document_id", "char_start"), docs, "filename").select("document_id", "char_start", "title", "journal", "doc_type")
+
+
+@query
+def last_page(spark, d):
+    """A page number behind the last gives the last page."""
+    return R.page(R.document_results(_ranked(spark, d)), 10_000).select("document_rank", "document_id", "total_count")
 
 
 @query
