@@ -126,20 +126,23 @@ def _counting(size: int):
             total = found if total is None else total + found
         if total is not None:
             parts = np.minimum(total, 65535).astype(np.uint16).reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], ["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
     return count
 
 
-def _add(key, table):
-    total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in table.column("counts").to_pylist())
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+def _total(table, cells: int) -> np.ndarray:
+    """The sum of counters of two or four bytes."""
+    return sum(np.frombuffer(c, np.uint16 if len(c) == 2 * cells else np.int32).astype(np.int64) for c in table.column("counts").to_pylist())
 
 
-def _add_last(key, table):
-    total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in table.column("counts").to_pylist())
-    steps = np.minimum(np.round(_STEPS * np.log2(1.0 + total)), 255).astype(np.uint8)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([steps.tobytes()], pa.binary())})
+def _adding(cells: int, last: bool):
+    def add(key, table):
+        total = _total(table, cells)
+        counts = np.minimum(np.round(_STEPS * np.log2(1.0 + total)), 255).astype(np.uint8) if last else np.minimum(total, 2**31 - 1).astype(np.int32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    return add
 
 
 def sketch(classes: DataFrame) -> np.ndarray:
@@ -152,9 +155,9 @@ def sketch(classes: DataFrame) -> np.ndarray:
     tasks = classes.rdd.getNumPartitions()
     while tasks > _FAN:  # a tree, so that no task holds more than a few slices
         group = F.floor(F.spark_partition_id() / _FAN).alias("of")
-        parts = parts.select("part", "counts", group).groupBy("part", "of").applyInArrow(_add, "part int, counts binary")
+        parts = parts.select("part", "counts", group).groupBy("part", "of").applyInArrow(_adding(size // _SLICES, False), "part int, counts binary")
         tasks = -(-tasks // _FAN)
-    found = parts.groupBy("part").applyInArrow(_add_last, "part int, counts binary").collect()
+    found = parts.groupBy("part").applyInArrow(_adding(size // _SLICES, True), "part int, counts binary").collect()
     out = np.zeros((_SLICES, size // _SLICES), np.uint8)
     for part, counts in found:
         out[part] = np.frombuffer(counts, np.uint8)
@@ -267,20 +270,18 @@ def similar_classes(records: DataFrame, threshold: float, run: int = 3, hot: int
     record with an equal set; links (a, b, similarity) between sets.
 
     Both are written to the checkpoint folder. What is kept in between is recomputed if an executor is lost, and let go at the end.
-    Runs travel once, by record id, and once more for the pairs to verify.
+    Runs travel once, by set; the postings and the pairs to verify come to them.
     """
-    rows = run_sets(records, run).repartition(_partitions(records), "record_id")
-    ones = rows.groupBy("record_id", F.col("first").alias("set"), "second", "n").agg(F.first("runs").alias("runs")).drop("second", "n").persist(StorageLevel.MEMORY_AND_DISK)
-    least = ones.groupBy("set").agg(F.min("record_id").alias("class_id"))
-    members = settled(ones.select("record_id", "set").join(least, "set").select("record_id", "set", "class_id"))
-    stands = members.where(F.col("record_id") == F.col("class_id")).select("record_id", F.col("set").alias("id"))
-    # By record id alone, along which the runs lie already.
-    classes = ones.join(stands, "record_id").where(F.col("set") == F.col("id")).select("id", "runs").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = run_sets(records, run).select("record_id", F.col("first").alias("set"), "runs").persist(StorageLevel.MEMORY_AND_DISK)
+    # Copies are taken together where they are read, before the runs travel: by set, along which the pairs are verified too.
+    classes = rows.groupBy(F.col("set").alias("id")).agg(F.min("record_id").alias("class_id"), F.first("runs").alias("runs")).persist(StorageLevel.MEMORY_AND_DISK)
+    ones = rows.select("record_id", "set").distinct()
+    members = settled(ones.join(classes.select(F.col("id").alias("set"), "class_id"), "set").select("record_id", "set", "class_id"))
+    rows.unpersist()
     pairs = candidates(classes, threshold, hot)
     left, right = classes.select(F.col("id").alias("a"), F.col("runs").alias("x")), classes.select(F.col("id").alias("b"), F.col("runs").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     links = settled(met.mapInArrow(_verifying(threshold), "a bigint, b bigint, similarity double"))
-    ones.unpersist()
     classes.unpersist()
     return members, links
 
