@@ -13,13 +13,21 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return counts.groupBy(surface(F.col("term")).alias("surface")).agg(F.sum("cf").alias("cf")).where(F.col("surface") != "")
 
 
+#: Query tokens whose table is sent to every task. A longer one (a file of queries) is joined by length instead.
+SENT = 1_000
+
+
 def spelling_candidates(query: DataFrame, words: DataFrame, most: int = 2, top: int = 5) -> DataFrame:
     """(pos, token, candidate, distance, frequency, rank): vocabulary words near each query token.
 
-    The query table (pos, token) is a handful of rows and is broadcast; lengths are compared before distances.
+    A query table (pos, token) of at most ``SENT`` rows is broadcast; a larger one meets the words by length. Lengths are compared before distances.
     """
-    near = (F.abs(F.length("surface") - F.length("token")) <= most) & (F.levenshtein("surface", "token", most) >= 0)
-    met = words.join(F.broadcast(query), near)
+    close = F.levenshtein("surface", "token", most) >= 0
+    if query.limit(SENT + 1).count() <= SENT:
+        met = words.join(F.broadcast(query), (F.abs(F.length("surface") - F.length("token")) <= most) & close)
+    else:
+        lengths = F.explode(F.sequence(F.greatest(F.length("token") - most, F.lit(0)), F.length("token") + most))
+        met = words.withColumn("n", F.length("surface")).join(query.withColumn("n", lengths), "n").where(close)
     rows = met.select("pos", "token", F.col("surface").alias("candidate"), F.levenshtein("surface", "token").alias("distance"), F.col("cf").alias("frequency"))
     order = Window.partitionBy("pos").orderBy("distance", F.desc("frequency"), F.abs(F.length("candidate") - F.length("token")), "candidate")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -194,6 +202,44 @@ def architecture(name: str) -> str:
     raise ValueError(f"unknown architecture {name!r}")
 
 
+def most_similar(model, word: str, top: int = 10) -> list[tuple[str, float]]:
+    """The nearest words of a trained model with their cosines to six places; none for a word it does not know."""
+    if not has_word(model, word):
+        return []
+    return [(r["word"], round(r["similarity"], 6)) for r in model.findSynonyms(normal_word(word), top).collect()]
+
+
+def normal_word(word: str) -> str:
+    return (word or "").lower().replace("ß", "ss").replace("’", "'").strip()
+
+
+def has_word(model, word: str) -> bool:
+    return not model.getVectors().where(F.col("word") == normal_word(word)).isEmpty()
+
+
+def word_similarity(model, first: str, second: str) -> float | None:
+    """The cosine of two words to six places; null if the model does not know both."""
+    from pyspark.ml.functions import vector_to_array
+
+    a, b = normal_word(first), normal_word(second)
+    known = {r["word"]: r["v"] for r in model.getVectors().where(F.col("word").isin(a, b)).select("word", vector_to_array("vector").alias("v")).collect()}
+    if a not in known or b not in known:
+        return None
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    size = (dot(known[a], known[a]) * dot(known[b], known[b])) ** 0.5
+    return round(dot(known[a], known[b]) / size, 6) if size else None
+
+
+def shown_neighbours(near: list[tuple[str, float]], word: str, most: int = 12) -> list[tuple[int, str, float]]:
+    """(rank, word, similarity) of the neighbours to show: the word itself, blanks and repeats left out, at most ``most``."""
+    seen, rows = {normal_word(word)}, []
+    for other, similarity in near:
+        if (name := normal_word(other)) and name not in seen and len(rows) < most:
+            seen.add(name)
+            rows.append((len(rows) + 1, other, similarity))
+    return rows
+
+
 def train_vectors(sentences: DataFrame, size: int = 100, window: int = 5, least: int = 1, epochs: int = 20, partitions: int = 1, seed: int = 42, kind: str = "skipgram"):
     """A skip-gram model over (words: array<string>)."""
     from pyspark.ml.feature import Word2Vec

@@ -13,6 +13,7 @@ from ..functions.stem import stemmed
 from ..operators import expansion as E
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..operators import scopes as P
 from ..operators import statistics as S
 from ..operators import tables as X
 from ..sources import artifacts, audit, ids, markup
@@ -686,7 +687,10 @@ def corpus_accept(spark, d):
 
 @query
 def extract_ids(spark, d):
-    return ids.ids_in_text(_docs(spark, d).select("document_id", "text"), "document_id", "text")
+    """Ids out of texts as lists of records hold them."""
+    rows = spark.read.parquet(f"{d}/structured_document.parquet").select("record_id", "pmid", "title").distinct()
+    text = F.concat_ws("\n", F.concat(F.lit("PMID= "), F.col("pmid")), F.col("title"), F.concat(F.lit(" "), F.col("pmid"), F.lit(",")))
+    return ids.ids_in_text(rows.select("record_id", text.alias("text")), "record_id", "text")
 
 
 @query
@@ -703,22 +707,62 @@ def missing_ids(spark, d):
 
 
 def _files(spark, d):
-    """Each record of the structured table written as a small article, as files would hold it."""
+    """Each record of the structured table written as a file in its source format; articles whose scope is not known as markup of no format."""
     rows = spark.read.parquet(f"{d}/structured_document.parquet").distinct().where(F.size("abstract_paragraphs_clean") > 0)
 
     def safe(c):
-        return F.replace(F.replace(F.replace(F.regexp_replace(c, "[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-    paragraphs = F.array_join(F.transform(F.filter("abstract_paragraphs_clean", lambda p: p.isNotNull()), lambda p: F.concat(F.lit("<p>"), safe(p), F.lit("</p>"))), "")
-    xml = F.concat(F.lit("<article><front><article-meta><article-id pub-id-type='pmid'>"), F.coalesce("pmid", F.lit("")), F.lit("</article-id><title-group><article-title>"), safe(F.coalesce("title", F.lit(""))), F.lit("</article-title></title-group><abstract>"), paragraphs, F.lit("</abstract></article-meta></front></article>"))
+        return F.replace(F.replace(F.replace(F.regexp_replace(c, "[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{FFFE}\\x{FFFF}]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def each(before: str, after: str):
+        kept = F.filter("abstract_paragraphs_clean", lambda p: p.isNotNull())
+        return F.array_join(F.transform(kept, lambda p: F.concat(F.lit(before), safe(p), F.lit(after))), "")
+
+    def joined(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    pmid, title = safe(F.coalesce("pmid", F.lit(""))), safe(F.coalesce("title", F.lit("")))
+    jats = joined("<article><front><article-meta><article-id pub-id-type='pmid'>", pmid, "</article-id><title-group><article-title>", title, "</article-title></title-group><abstract>", each("<p>", "</p>"), "</abstract></article-meta></front></article>")
+    pubmed = joined("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>", pmid, "</PMID><Article><ArticleTitle>", title, "</ArticleTitle><Abstract>", each("<AbstractText>", "</AbstractText>"), "</Abstract></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>")
+    bioc = joined("<collection><document><passage><infon key='type'>title</infon><text>", title, "</text></passage>", each("<passage><infon key='section_type'>ABSTRACT</infon><text>", "</text></passage>"), "</document></collection>")
+    plain = joined("<record><title>", title, "</title>", each("<p>", "</p>"), "</record>")
+    unknown = (F.col("source_format") == "JATS") & F.col("search_scope").isNull()
+    xml = F.when(unknown, plain).when(F.col("source_format") == "PubMed", pubmed).when(F.col("source_format") == "BioC", bioc).otherwise(jats)
     return rows.select(F.concat(F.col("record_id").cast("string"), F.lit(".xml")).alias("path"), F.encode(xml, "UTF-8").alias("content"))
 
 
+def _parsed(spark, d):
+    return markup.documents_of(_files(spark, d))
+
+
 @query
 def parse_detect(spark, d):
-    return markup.documents_of(_files(spark, d)).groupBy("source_format").agg(F.count("*").alias("files"))
+    return _parsed(spark, d).groupBy("source_format").agg(F.count("*").alias("files"))
+
+
+@query
+def parse_sections(spark, d):
+    return _parsed(spark, d).where("error IS NULL").groupBy("source_format", F.size("abstract_sections").alias("sections")).agg(F.count("*").alias("files"))
 
 
 @query
 def parse_pages(spark, d):
-    return markup.documents_of(_files(spark, d)).select("filename", "title", F.size("abstract_sections").alias("sections"))
+    return _parsed(spark, d).select("filename", "source_format", "title", F.size("abstract_sections").alias("sections"), "error")
+
+
+def _scoped(spark, d):
+    return _parsed(spark, d).where("error IS NULL").withColumn("document_id", P.document_id())
+
+
+@query
+def search_segments(spark, d):
+    return P.search_segments(_scoped(spark, d)).groupBy("field").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("characters"))
+
+
+@query
+def statistics_segments(spark, d):
+    return P.statistics_segments(_scoped(spark, d)).groupBy("field", "counted").agg(F.count("*").alias("segments"))
+
+
+@query
+def document_statistics(spark, d):
+    return P.document_statistics(_scoped(spark, d))

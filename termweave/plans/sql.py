@@ -375,3 +375,16 @@ _RECORDS = "SELECT DISTINCT filename || '#' || lpad(record_id::VARCHAR, 12, '0')
 _DECIDED = "SELECT *, CASE WHEN p = '' THEN 'missing_pmid' WHEN coalesce(sum(CASE WHEN a <> '' AND (l = '' OR starts_with(l, 'en')) THEN 1 ELSE 0 END) OVER (PARTITION BY p ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'duplicate_pmid' WHEN a = '' THEN 'missing_abstract' WHEN l <> '' AND NOT starts_with(l, 'en') THEN 'non_english' END AS reason FROM r"
 ORACLE["corpus_audit"] = f"WITH r AS ({_RECORDS}), d AS ({_DECIDED}) SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS records FROM d GROUP BY 1"
 ORACLE["corpus_accept"] = f"WITH r AS ({_RECORDS}), d AS ({_DECIDED}) SELECT name, pmid FROM d WHERE reason IS NULL ORDER BY name LIMIT 100"
+_IDS_IN = (
+    "t AS (SELECT record_id, concat_ws(chr(10), 'PMID= ' || pmid, title, ' ' || pmid || ',') AS x FROM (SELECT DISTINCT record_id, pmid, title FROM structured_document)), "
+    "f AS (SELECT record_id, x, list_concat(list_concat(regexp_extract_all(x, '(?i)\\bPMID\\s*[:#=]?\\s*([0-9]+)\\b', 1), regexp_extract_all(x, '(?i)pubmed\\.ncbi\\.nlm\\.nih\\.gov/([0-9]+)', 1)), regexp_extract_all(x, '(?m)^[ \\t\\r\\f]*[,;]*([0-9]+)[,;]*[ \\t\\r\\f]*$', 1)) AS found FROM t), "
+    "g AS (SELECT record_id, CASE WHEN len(found) > 0 THEN found ELSE regexp_extract_all(x, '\\b([0-9]{5,10})\\b', 1) END AS found FROM f), "
+    "h AS (SELECT record_id, unnest(found) AS id, generate_subscripts(found, 1) AS k FROM g)"
+)
+ORACLE["extract_ids"] = f"WITH {_IDS_IN} SELECT record_id, id, row_number() OVER (PARTITION BY record_id ORDER BY min(k)) - 1 AS pos FROM h GROUP BY record_id, id"
+_WRITTEN = (
+    "w AS (SELECT CASE WHEN source_format = 'JATS' AND search_scope IS NULL THEN 'GenericXML' ELSE source_format END AS kind, trim(coalesce(pmid, '')) AS p, "
+    f"list_filter(abstract_paragraphs_clean, lambda x: x IS NOT NULL AND trim(regexp_replace(x, '[{_SPACE}]+', ' ', 'g')) <> '') AS l FROM (SELECT DISTINCT * FROM structured_document) WHERE len(abstract_paragraphs_clean) > 0)"
+)
+ORACLE["parse_detect"] = f"WITH {_WRITTEN} SELECT CASE WHEN kind = 'PubMed' AND p = '' THEN 'unreadable' ELSE kind END AS source_format, count(*) AS files FROM w GROUP BY 1"
+ORACLE["parse_sections"] = f"WITH {_WRITTEN} SELECT kind AS source_format, CASE WHEN kind = 'GenericXML' THEN 0 ELSE len(l) END AS sections, count(*) AS files FROM w WHERE NOT (kind = 'PubMed' AND p = '') GROUP BY 1, 2"

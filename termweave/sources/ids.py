@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 # How an id stands in a text, in the order the forms are tried.
-LABELLED = r"(?i)\bPMID\s*[:#]?\s*([0-9]{1,10})\b"
-ADDRESS = r"(?i)pubmed(?:\.ncbi\.nlm\.nih\.gov|/)[^\s0-9]*([0-9]{1,10})"
-LINE = r"(?m)^[ \t]*([0-9]{1,10})[ \t]*$"
+LABELLED = r"(?i)\bPMID\s*[:#=]?\s*([0-9]+)\b"
+ADDRESS = r"(?i)pubmed\.ncbi\.nlm\.nih\.gov/([0-9]+)"
+LINE = r"(?m)^[ \t\r\f]*[,;]*([0-9]+)[,;]*[ \t\r\f]*$"
 LOOSE = r"\b([0-9]{5,10})\b"
 
 
@@ -40,3 +42,29 @@ def batches(ids: DataFrame, size: int) -> DataFrame:
 
 def missing(requested: DataFrame, returned: DataFrame) -> DataFrame:
     return requested.join(returned, "id", "left_anti")
+
+
+def in_requested_order(requested: DataFrame, documents: DataFrame, id: str = "pmid") -> DataFrame:
+    """The documents that were asked for, each once, with ``pos``, their place in the request (id, pos); of several under one id one counts."""
+    once = documents.where(F.trim(id) != "").dropDuplicates([id])
+    return requested.join(once, requested["id"] == once[id]).drop(requested["id"])
+
+
+def ids_in_files(files: DataFrame) -> DataFrame:
+    """(path, id, pos) from text files (path, content): as `ids_in_text`, bytes that are no UTF-8 replaced."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    return ids_in_text(files.select("path", text.alias("text")), "path", "text")
+
+
+def in_manifest_order(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files (path, ...) with ``pos``: by a manifest (pos, file, pmcid), if it names any of them, files it does not name left out; else by name.
+
+    A row of the manifest without a file names the file of its pmcid.
+    """
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    listed = F.regexp_extract(F.trim(F.coalesce("file", F.lit(""))), "[^/]*$", 0)
+    named = manifest.select(F.when(listed != "", listed).when(F.trim(F.coalesce("pmcid", F.lit(""))) != "", F.concat(F.trim("pmcid"), F.lit(".xml"))).alias("name"), "pos")
+    met = files.withColumn("name", name).join(named.groupBy("name").agg(F.min("pos").alias("pos")), "name")
+    if not met.isEmpty():
+        return met.drop("name")
+    return ranked(files.withColumn("name", name), [], [F.asc("name"), F.asc("path")], "pos").drop("name")

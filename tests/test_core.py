@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave.functions import stem, text
-from termweave.operators import expansion, retrieval, statistics, tables
+from termweave.operators import expansion, index, ranks, retrieval, statistics, tables
 from termweave.plans import queries
-from termweave.sources import audit, ids, markup
+from termweave.plans import sql as oracle
+from termweave.sources import audit, ids
 
 DOCS = "document_id string, text string, lang string, source string"
 
@@ -26,6 +27,9 @@ def test_porter_words(spark):
     assert got == dict(zip(words, stems))
     sql = stem.duck_stems("SELECT unnest([" + ",".join(f"'{w}'" for w in words) + "]) AS word")
     assert dict(duckdb.sql(sql).fetchall()) == got
+    # The SQL that queries are compared with stems by other means.
+    sql = oracle._stems("SELECT unnest([" + ",".join(f"'{w}'" for w in words) + "]) AS word")
+    assert dict(duckdb.sql(sql).fetchall()) == got
 
 
 def test_compounds_keep_their_joints(spark):
@@ -185,17 +189,49 @@ def test_audit(spark):
     assert got == {"a": None, "b": "duplicate_pmid", "c": "missing_pmid", "d": "missing_abstract", "e": "non_english", "f": None}
 
 
-JATS = b"""<article xml:lang='en'><front><article-meta><article-id pub-id-type='pmid'>7</article-id><title-group><article-title>A <i>b</i> c</article-title></title-group>
-<abstract abstract-type='graphical'><p>no</p></abstract><abstract><sec><title>Aim</title><p>One <xref ref-type='bibr'>9</xref>two.</p></sec></abstract></article-meta></front>
-<body><sec><p>Body text.<fig><label>F1</label><caption><p>Cap</p></caption></fig></p></sec></body></article>"""
-PUBMED = b"<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>5</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText Label='METHODS'>M.</AbstractText><AbstractText Label='UNASSIGNED'>U.</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"
-BIOC = b"<collection><document><passage><infon key='type'>front</infon><text>Title</text></passage><passage><infon key='section_type'>ABSTRACT</infon><text>Words.</text></passage></document></collection>"
-
-
-def test_formats(spark):
-    files = [("a.xml", JATS), ("b.xml", PUBMED), ("c.xml", BIOC), ("d.xml", b"<html><title>H</title><p>x <b>y</b> z</p><script>s</script></html>"), ("e.xml", b"<broken")]
-    rows = {r["filename"]: r for r in markup.documents_of(spark.createDataFrame([(n, bytearray(c)) for n, c in files], "path string, content binary")).collect()}
-    assert [rows[n]["source_format"] for n, _ in files] == ["JATS", "PubMed", "BioC", "GenericXML", "unreadable"]
-    assert rows["a.xml"]["title"] == "A b c" and rows["a.xml"]["abstract_sections"][0]["text"] == "One two." and rows["a.xml"]["body"] == ["Body text."]
-    assert [s["label"] for s in rows["b.xml"]["abstract_sections"]] == ["Methods", ""] and rows["c.xml"]["title"] == "Title"
-    assert rows["d.xml"]["body"] == ["x y z"] and rows["e.xml"]["error"]
+def test_ranks_by_range(spark):
+    rows = [(k % 3 if k % 7 else None, k * 37 % 101, f"t{k:03d}") for k in range(500)]
+    df = spark.createDataFrame(rows, "g int, v int, t string").repartition(5)
+    for keys in (["g"], []):
+        got = {r["t"]: r["n"] for r in ranks.ranked(df, keys, [F.desc("v"), F.asc("t")], "n").collect()}
+        want, seen = {}, {}
+        for g, _, t in sorted(rows, key=lambda r: (-r[1], r[2])):
+            key = g if keys else 0
+            seen[key] = want[t] = seen.get(key, 0) + 1
+        assert got == want
+    assert ranks.ranked(df.limit(0), ["g"], [F.asc("v")], "n").count() == 0
+
+
+def test_worked_statistics(spark):
+    zipf = [("the", 1000), ("of", 500), ("and", 333), ("data", 250), ("model", 200), ("cancer", 167), ("rare", 10), ("veryrare", 5)]
+    stats = spark.createDataFrame([("c", t, n, 1) for t, n in zipf], "condition string, term string, cf bigint, df bigint")
+    parts = statistics.regions(statistics.zipf_table(stats)).groupBy("region").count().collect()
+    assert {r["region"]: r["count"] for r in parts} == {"high": 3, "middle": 3, "low": 2}
+    words = spark.createDataFrame([("c", "the", 5000, 980), ("c", "glp-1", 1500, 900), ("c", "semaglutide", 250, 120), ("c", "xylophone", 1, 1)], stats.schema)
+    top = statistics.significant_words(words, 1000).orderBy("significance_rank").collect()
+    assert [r["term"] for r in top] == ["semaglutide", "xylophone", "glp-1", "the"] and [round(r["score"], 4) for r in top] == [2.2097, 0.9031, 0.1453, 0.0325]
+    counts = spark.createDataFrame([("D1", "the", 5), ("D1", "cancer", 2)], "document_id string, term string, n bigint")
+    df = spark.createDataFrame([("the", 10), ("cancer", 4)], "term string, df bigint")
+    assert {r["term"]: round(r["tf_idf"], 4) for r in statistics.document_tfidf(counts, df, 10, document="D1").collect()} == {"the": 0.0, "cancer": 0.7959}
+    with pytest.raises(ValueError):
+        statistics.document_tfidf(counts, df, 10, document="D9")
+    asked = statistics.representative_terms(stats, [("nothing", ["models"]), ("rarely", ["rare"])], ["absent", "cancer", "data"], 4)
+    assert [(r["asked"], r["term"]) for r in asked.orderBy("priority").collect()] == [("rarely", "rare"), ("cancer", "cancer"), ("data", "data"), (None, "model")]
+    curve = statistics.resolving_curve(spark.createDataFrame([(k,) for k in range(1, 11)], "rank int"), 99, -5).orderBy("rank").collect()
+    assert max(r["resolving_power"] for r in curve) == 1.0 and curve[4]["resolving_power"] > curve[0]["resolving_power"]
+
+
+def test_stored_index(spark, tmp_path):
+    rows = [("DEMO", "Physical activity improves health.\nCancer-related outcomes were studied.", None, None)]
+    built = index.build(spark.createDataFrame(rows, DOCS), str(tmp_path))
+    hits = retrieval.run_search(built, "hysical act").hits.collect()
+    assert [(r["match_method"], r["char_start"], r["char_end"], r["word_position"], r["context"]) for r in hits] == [("literal", 1, 12, 0, "Physical activity improves health.")]
+    found = retrieval.run_search(built, "physical activity")
+    assert [(r["match_type"], r["char_start"], r["char_end"]) for r in found.hits.collect()] == [("exact", 0, 17)]
+    assert found.summary.first()["documents_found"] == 1 and [r["document_rank"] for r in found.documents.collect()] == [1]
+    assert retrieval.run_search(built, " , ").hits.count() == 0 and retrieval.run_search(built, "absent").summary.first()["total_results"] == 0
+    assert [(r["term"], r["positions"]) for r in index.posting_lists(built).where("term = 'activity'").collect()] == [("activity", [1])]
+    assert "PushedFilters: [IsNotNull(base)" in index.lookup(built, "Activity")._jdf.queryExecution().toString() or index.lookup(built, "Activity").count() == 1
+    meta = spark.createDataFrame([("P1", "", "DEMO", "T"), (None, "DEMO2", "x", "U")], "pmcid string, pmid string, filename string, title string")
+    asked = spark.createDataFrame([("DEMO",), ("DEMO2",), ("no",)], "document_id string")
+    assert {(r["document_id"], r["title"]) for r in retrieval.with_metadata(asked, meta, "pmcid", "pmid", "filename").collect()} == {("DEMO", "T"), ("DEMO2", "U"), ("no", None)}
