@@ -273,6 +273,7 @@ def similar_classes(records: DataFrame, threshold: float, run: int = 3, hot: int
     Runs travel once, by set; the postings and the pairs to verify come to them.
     """
     rows = run_sets(records, run).select("record_id", F.col("first").alias("set"), "runs").persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()  # two branches read them at once; neither should work them out again
     # Copies are taken together where they are read, before the runs travel: by set, along which the pairs are verified too.
     classes = rows.groupBy(F.col("set").alias("id")).agg(F.min("record_id").alias("class_id"), F.first("runs").alias("runs")).persist(StorageLevel.MEMORY_AND_DISK)
     ones = rows.select("record_id", "set").distinct()
