@@ -44,6 +44,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_ranges(paragraphs, ["document_id", "segment_id"])
 
 
+def p4_unpunctuated(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of whole documents whose marks are taken off: what the events between any two words find by themselves. The model is fitted on the texts as they are."""
+    paragraphs = _table(spark, folder, "processed_document").select("document_id", "segment_id", "text")
+    bare = F.regexp_replace("text", r"[.!?…]+(?=[\s\"'”’»)\]]|$)|[。！？।॥…]+", "")
+    parts = F.array_sort(F.collect_set(F.struct("segment_id", F.trim(bare).alias("t"))))
+    documents = paragraphs.where(F.trim("text") != "").groupBy("document_id").agg(F.array_join(parts["t"], " ").alias("text"))
+    return sentences.sentence_ranges(documents, ["document_id"], sentences.fit(paragraphs))
+
+
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     records = _table(spark, folder, "structured_document")
     return language.corrected_languages(records.select("record_id", F.col("language").alias("label"), F.col("abstract_paragraphs_clean").alias("paragraphs")))
@@ -86,6 +95,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_log_entropy": p3_log_entropy,
     "p4_found": p4_found,
+    "p4_unpunctuated": p4_unpunctuated,
     "p5_found": p5_found,
     "p5_confidence": p5_confidence,
     "p6_ids": p6_ids,

@@ -7,11 +7,16 @@ a terminal mark, a closing sign or, in Thai, a blank between two Thai words stan
 decisions of neighbouring gaps depend on each other (a list number starts a sentence only behind a boundary), so the posterior of each
 event comes from a forward-backward pass over the gaps of the paragraph; an event is set above 0.5.
 
+Where a stretch goes on without any mark for longer than the sentences of the collection do, an event is possible between any two of its words
+(characters, in scripts without blanks). A second table of the model, counted over the sentences found in training with their marks taken off, tells how
+often a word ends, starts or continues a sentence; together with the lengths of sentences it gives the probability of every way to cut the
+stretch, and forward-backward over all of them the posterior of each event. Where nothing tells one place from another, none passes 0.5 and the stretch stays whole.
+
 The model is trained on unlabelled paragraphs by expectation-maximisation. Every paragraph's start and end are events that can be seen, and
 from how often a token ends paragraphs the first expectations follow; the pieces an older splitter left are not used.
 
 Defined results. Null, empty and blank texts have no sentence. Ranges count code points, have no blank at either end and together cover all
-but blanks. A text without a possible gap is one sentence. The same row twice gives its sentences once.
+but blanks. A text in which no event passes is one sentence. The same row twice gives its sentences once.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from math import exp, log
 
 import numpy as np
@@ -44,11 +50,12 @@ _GAP = re.compile(
 )
 # Signs in pairs. A straight quotation mark opens behind a blank or opening sign and closes before a blank, mark or closing sign.
 _QUOTED = re.compile(
-    r'(?<![^\s(\[“«„—:：.!?。！？])"(?=\S)[^"]{1,400}?(?<=\S)"(?=[\s.,;:!?)\]—]|$|[A-ZÀ-Þ(])'
-    r"|“[^“”]{1,400}”|„[^„“”]{1,400}[“”]|«[^«»]{1,400}»|「[^「」]{1,400}」|『[^『』]{1,400}』|\([^()]{1,400}\)|（[^（）]{1,400}）|\[[^\[\]]{1,400}\]"
+    r'(?<![^\s(\[“«„—:：.!?。！？])"(?=\S)[^"]*?(?<=\S)"(?=[\s.,;:!?)\]—]|$|[A-ZÀ-Þ(])'
+    r"|“[^“”]+”|„[^„“”]+[“”]|«[^«»]+»|「[^「」]+」|『[^『』]+』|\([^()]+\)|（[^（）]+）|\[[^\[\]]+\]"
 )
 _TOKEN = re.compile(rf"[{_HAN}]|[^\s{_HAN}]+")
 _RIGHT = re.compile(rf"\s*([{_OPEN}]*)([{_HAN}]|[{_THAI}]+|[\w'’.-]+|\S)?(\S*)\s*(\S{{0,20}})")
+_SEEN = re.compile(r"\S")
 _HAN_LAST = re.compile(f"[{_HAN}](?=[^{_HAN}]*$)")
 _HAN_CHAR = re.compile(f"[{_HAN}]")
 START = "<s>"
@@ -66,6 +73,7 @@ def _left(before: str) -> tuple[str, str]:
     return last[:at], last[at:]
 
 
+@lru_cache(maxsize=1 << 16)
 def shape(word: str) -> str:
     """The form of a word: which script, which case, which signs."""
     core = word.strip(_OPEN.replace("\\", "") + _CLOSE.replace("\\", "") + _END + ",;:")
@@ -126,13 +134,11 @@ def gaps(text: str) -> list[Gap]:
                     end += 1
         if inside or end <= last_end:
             continue
-        rest = text[end : end + 80]
-        if not rest.strip():
+        if _SEEN.search(text, end) is None:
             continue
         l2, l1 = _left(text[max(0, end - 60) : end])
-        right = _RIGHT.match(rest)
-        opening, head, tail, after = right.groups()
-        glued = not rest[0].isspace()
+        opening, head, tail, after = _RIGHT.match(text, end).groups()
+        glued = not text[end].isspace()
         r1 = (opening or "") + (head or "")
         r2 = (tail if glued and tail and not head else "") or after or ""
         between = text[last_end:end].split() if last_end >= 0 else []
@@ -150,6 +156,7 @@ class EventModel:
         self.event: dict = {}  # context -> [events, all]
         self.next: dict = {}  # (with event, context) -> count; True and False -> all
         self.known: dict = {}  # odds worked out before, at most _REMEMBERED
+        self.bare: Bare | None = None  # for stretches without marks
 
     def contexts(self, l2: str, l1: str) -> list[tuple]:
         a, b = (l1 if l1 in self.vocabulary else shape(l1)), (START if l2 == START else l2 if l2 in self.vocabulary else shape(l2))
@@ -311,13 +318,144 @@ def train(texts: list[str], rounds: int = _ROUNDS) -> EventModel:
         model.event, model.next = dict(event), {**follow, True: follow[True] + 1, False: follow[False] + 1}
         beliefs = [model.posteriors(row) for _, row in rows]
     model.known.clear()
+    bare = Bare()
+    for t, _ in rows:
+        bare.learn(t, split(t, model))
+    bare.settle()
+    model.known.clear()
+    model.bare = bare
     return model
 
 
-def split(text: str, model: EventModel) -> list[tuple[int, int]]:
-    """The sentences of a paragraph as ranges of code points."""
-    row = gaps(text)
-    cuts = [g.end for g, p in zip(row, model.posteriors(row)) if p > 0.5]
+_SIGN = re.compile(rf"[{_HAN}{_THAI}]|[^\s{_HAN}{_THAI}]+")
+_MARKS = _END + _CLOSE.replace("\\", "") + _OPEN.replace("\\", "")
+
+
+def _units(text: str) -> list[tuple[int, int]]:
+    """Words, and single characters where no blanks part words."""
+    return [m.span() for m in _SIGN.finditer(text)]
+
+
+class Bare:
+    """How words end, start and go on within sentences, without their marks; and how long sentences are."""
+
+    def __init__(self):
+        self.left: dict = defaultdict(lambda: [0.0, 0.0])  # what stands before a place -> [events, places]
+        self.right: dict = defaultdict(lambda: [0.0, 0.0])
+        self.lengths: dict[bool, Counter] = {False: Counter(), True: Counter()}  # by whether words have blanks between them
+
+    @staticmethod
+    def wide(text: str) -> bool:
+        """Whether most units of a text are characters of a script without blanks."""
+        return 2 * len(_WIDE.findall(text)) > len(_SIGN.findall(text))
+
+    def _before(self, text: str, spans: list, i: int, level: bool = False) -> list:
+        a, b = spans[i]
+        if b - a == 1 and _WIDE.match(text, a):
+            return ["", text[a:b], text[max(0, a - 1) : b], text[max(0, a - 2) : b]]
+        word = text[a:b].strip(_MARKS)
+        low = "=" + word.lower()
+        return ["", low] if level else ["", shape(word), low, word]
+
+    def _after(self, text: str, spans: list, i: int, level: bool = False) -> list:
+        a, b = spans[i]
+        if b - a == 1 and _WIDE.match(text, a):
+            return ["", text[a:b], text[a : b + 1], text[a : b + 2]]
+        word = text[a:b].strip(_MARKS)
+        low = "=" + word.lower()
+        return ["", low] if level else ["", shape(word), low, word]
+
+    def learn(self, text: str, ranges: list[tuple[int, int]]) -> None:
+        """Counts the sentences of a text, as far as they are told by their marks."""
+        for k, (a, b) in enumerate(ranges):
+            bare = text[a:b].rstrip(_MARKS + " ")
+            spans = _units(bare)
+            if not spans:
+                continue
+            self.lengths[self.wide(bare)][len(spans)] += 1
+            for i in range(len(spans)):
+                last = i == len(spans) - 1
+                if not last or k < len(ranges) - 1:
+                    for c in self._before(bare, spans, i):
+                        cell = self.left[c or 0]
+                        cell[0] += last
+                        cell[1] += 1
+                if i or k:
+                    for c in self._after(bare, spans, i):
+                        cell = self.right[c or 0]
+                        cell[0] += not i
+                        cell[1] += 1
+
+    def settle(self) -> None:
+        """Ready to be sent: rare contexts left out, lengths as logarithms of shares."""
+        self.left, self.right = ({k: tuple(v) for k, v in side.items() if v[1] >= 2 or k == 0} for side in (self.left, self.right))
+        self.longest, self.prior = {}, {}
+        for wide, seen in self.lengths.items():
+            total = sum(seen.values())
+            most = max(seen, default=0)
+            self.longest[wide] = most * 3 // 2
+            raw = np.array([sum(seen.get(n + d, 0) for d in (-1, 0, 1)) / 3 for n in range(self.longest[wide] + 1)])
+            # Longer ones are never ruled out: they take a small constant share each.
+            self.prior[wide] = np.log((raw + 0.01) / (total + 0.01 * (len(raw) + 1)))
+        self.lengths = {}
+        # A stretch of fewer characters is never longer than the longest sentence.
+        self.shortest = min([n for n in self.longest.values() if n], default=0)
+
+    def _odds(self, side: dict, contexts: list, base: float) -> float:
+        p = base
+        for c in contexts[1:]:
+            seen = side.get(c)
+            if seen:
+                p = (seen[0] + 4.0 * p) / (seen[1] + 4.0)
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        return log(p / (1 - p)) - log(base / (1 - base))
+
+    def cuts(self, text: str) -> list[int]:
+        """Ends of the sentences within a text without marks."""
+        wide = self.wide(text)
+        spans = _units(text)
+        n, longest = len(spans), self.longest[wide]
+        if not longest or n <= longest:
+            return []
+        bases = []
+        for side in (self.left, self.right):
+            seen = side.get(0, (1.0, 10.0))
+            bases.append(min(max(seen[0] / max(seen[1], 1.0), 1e-3), 0.5))
+        gain = np.full(n + 1, -50.0)
+        gain[0] = gain[n] = 0.0
+        level = not wide and (text.islower() or text.isupper())  # then case tells nothing
+        for i in range(1, n):
+            gain[i] = self._odds(self.left, self._before(text, spans, i - 1, level), bases[0]) + self._odds(self.right, self._after(text, spans, i, level), bases[1])
+        # Every way to cut: a sentence of k words has the weight of its length, one beyond the longest a constant.
+        prior = self.prior[wide]
+        far = float(prior.min())
+        backwards = prior[:0:-1]
+
+        def swept(worth: np.ndarray) -> np.ndarray:
+            total = np.full(n + 1, -np.inf)
+            total[0] = 0.0
+            beyond = -np.inf  # ways whose last event lies further back than the longest
+            for i in range(1, n + 1):
+                low = max(0, i - longest)
+                if i - longest - 1 >= 0:
+                    beyond = np.logaddexp(beyond, total[i - longest - 1])
+                near = total[low:i] + backwards[longest - (i - low) :]
+                top = near.max()
+                value = top + log(np.exp(near - top).sum()) if top > -np.inf else -np.inf
+                total[i] = np.logaddexp(value, beyond + far) + worth[i]
+            return total
+
+        forward = swept(gain)
+        backward = swept(gain[::-1])[::-1]
+        posterior = np.exp(np.minimum(forward + backward - gain - forward[n], 0.0))
+        return [spans[i - 1][1] for i in range(1, n) if posterior[i] > 0.5]
+
+
+_WIDE = re.compile(f"[{_HAN}{_THAI}]")
+_TERMINAL = re.compile(rf"[{_FULL}]|[{_END}](?=[\s{_CLOSE}])")  # no decimal points
+
+
+def _ranges(text: str, cuts: list[int]) -> list[tuple[int, int]]:
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(text)]):
         piece = text[a:b]
@@ -328,6 +466,22 @@ def split(text: str, model: EventModel) -> list[tuple[int, int]]:
     return out
 
 
+def split(text: str, model: EventModel) -> list[tuple[int, int]]:
+    """The sentences of a paragraph as ranges of code points."""
+    row = gaps(text)
+    out = _ranges(text, [g.end for g, p in zip(row, model.posteriors(row)) if p > 0.5])
+    bare = model.bare
+    if bare is None or all(b - a <= bare.shortest for a, b in out):
+        return out
+    fine = []
+    for a, b in out:
+        # Marks inside, such as those of a quotation, tell that the model has judged them.
+        inside = text[a:b]
+        cuts = bare.cuts(inside) if b - a > bare.shortest and _TERMINAL.search(inside.rstrip(_MARKS + " ")) is None else []
+        fine += [(a + x, a + y) for x, y in _ranges(inside, cuts)] if cuts else [(a, b)]
+    return fine
+
+
 def drawn(rows: DataFrame, sample: int) -> list:
     """About ``sample`` distinct rows, all if there are fewer: those whose hash lies below a share of its range. The driver sees no more.
 

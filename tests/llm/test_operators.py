@@ -191,6 +191,29 @@ def test_sentence_ranges(spark, model):
         assert piece == piece.strip() != ""
 
 
+def test_stretches_without_marks(model):
+    parts = [s.replace("{}", "Tamby").rstrip(".") for s in SENTENCES if '"' not in s and "(" not in s and "U.S" not in s and "Fig" not in s and "e.g" not in s and "Dr" not in s]
+    draw = random.Random(12)
+    right = total = made = 0
+    for _ in range(20):
+        row = [draw.choice(parts) for _ in range(14)]
+        text = " ".join(row)
+        ends = {sum(map(len, row[:k])) + k - 1 for k in range(1, 14)}
+        got = {b for _, b in sentences.split(text, model)[:-1]}
+        right, total, made = right + len(ends & got), total + len(ends), made + len(got)
+    assert right >= 0.9 * total and right >= 0.9 * made
+    # A stretch no longer than sentences are is left alone, and so is one in which nothing tells one place from another.
+    assert len(sentences.split(parts[0], model)) == 1 and len(sentences.split("x " * 3000, model)) == 1
+
+
+def test_long_quotations_stay_whole(model):
+    inner = "It hurts. Then it stops. " * 60
+    text = f'Costs rose. One nurse said, "{inner.strip()}" Evidence was low.'
+    cut = [text[a:b] for a, b in sentences.split(text, model)]
+    assert len(cut) == 3 and cut[1].startswith("One nurse") and cut[1].endswith('stops."')
+    assert len(sentences.split("Evidence was low." + " " * 500 + "Costs rose.", model)) == 2
+
+
 ENGLISH = ["The patients were treated with care and the dose was raised over the weeks.", "We searched several databases for trials of the drug in adults with the disease."]
 FRENCH = ["Les patients ont été suivis pendant plusieurs semaines dans les hôpitaux de la ville.", "Il reste à savoir si le traitement modifie durablement le poids chez les adultes."]
 
