@@ -5,9 +5,13 @@ Every run of ``window`` words of an item and of a document gets a 64-bit SimHash
 fingerprint within the radius. Candidates are verified by the weighted Jaccard similarity of their shingles (a shingle
 weighs more the fewer items have it), then, where a run of equal words is asked for, word by word.
 
-The items are the query set: they are read in blocks of at most ``items_at_once``, and each block of items meets
+The items are the query set: they are read in blocks of about ``words_at_once`` words, and each block of items meets
 all documents in one narrow pass. Documents are neither shuffled nor joined with each other, and no item or document is left out.
 
+`leaked_items` asks for a run of words that both texts share, so its windows have the length of the run: an item also leaks in part.
+`near_items` asks for whole items, edited here and there: its windows have the size of the item (of its class of sizes for the search, its own for
+the verification), and similarity decides, not equal words.
+
 Defined results. Words are the longest runs of letters and digits, compared without case. Null and empty texts and texts of fewer
 words than the window hold no window and match nothing. Repeated rows give one row for each (document, item).
 """
@@ -180,7 +184,7 @@ def leaked_items(
     radius: int = 3,
     similar: float = 0.8,
     exact: bool = True,
-    items_at_once: int = 5_000,
+    words_at_once: int = 200_000,
 ) -> DataFrame:
     """(doc, item) for documents (doc, text) and items (item bigint, text), each pair once.
 
@@ -188,14 +192,135 @@ def leaked_items(
     """
     assert 0 < shingle <= window
     kind = documents.schema["doc"].dataType.simpleString()
-    spark = documents.sparkSession
     hashed = documents.select("doc", word_hashes(F.col("text")).alias("w")).where(F.size("w") >= window)
-    blocks = max(1, -(-items.count() // items_at_once))
     found = None
+    for ids, words in _blocks(items, words_at_once):
+        index = documents.sparkSession.sparkContext.broadcast(ItemWindows(ids, words, window, shingle, radius))
+        part = hashed.mapInArrow(_matching(index, similar, exact), f"doc {kind}, item bigint")
+        found = part if found is None else found.unionByName(part)
+    return found.dropDuplicates()
+
+
+def _blocks(items: DataFrame, words_at_once: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Items and their word hashes, about so many words at a time; one block if there are none. What the driver holds follows the block, not the items."""
+    hashed = items.select("item", word_hashes(F.col("text")).alias("w")).dropDuplicates()
+    blocks = max(1, -(-(hashed.agg(F.sum(F.size("w"))).first()[0] or 0) // words_at_once))
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).select("item", word_hashes(F.col("text")).alias("w")).dropDuplicates()
-        rows = sorted((tuple(r) for r in block.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        index = ItemWindows([r[0] for r in rows], [np.array(r[1], np.int64).view(np.uint64) for r in rows], window, shingle, radius)
-        part = hashed.mapInArrow(_matching(spark.sparkContext.broadcast(index), similar, exact), f"doc {kind}, item bigint")
+        rows = sorted((tuple(r) for r in hashed.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+        yield [r[0] for r in rows], [np.array(r[1], np.int64).view(np.uint64) for r in rows]
+
+
+# --- whole items, edited ------------------------------------------------------------------------------------------------
+
+#: Ratio of neighbouring sizes of windows; a window is taken at every so many parts of its size.
+_RATIO, _STRIDES = 1.12, 16
+
+
+class WholeItems:
+    """Items by classes of size, each indexed by the blocks of their fingerprints."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], shingle: int, radius: int):
+        self.ids, self.shingle, self.radius = ids, shingle, radius
+        self.sets = [shingles(w, shingle) for w in words]
+        held: dict[int, int] = {}
+        for s in self.sets:
+            for x in np.unique(s).tolist():
+                held[x] = held.get(x, 0) + 1
+        self.many = max(1, len(words))
+        self.known = np.array(sorted(held), np.uint64)
+        self.weights = np.log1p(self.many / np.array([held[x] for x in self.known.tolist()], float)) if held else np.empty(0)
+        self.classes: dict[int, list[int]] = {}
+        for k, s in enumerate(self.sets):
+            if len(s):
+                self.classes.setdefault(int(round(_RATIO ** round(np.log(len(s)) / np.log(_RATIO)))), []).append(k)
+        self.tables = {}
+        for size, members in self.classes.items():
+            prints = np.concatenate([_prints(_sums(self.sets[k]), np.array([0]), len(self.sets[k])) for k in members])
+            tables = []
+            for values in block_values(prints, radius + 1):
+                order = np.argsort(values, kind="stable")
+                tables.append((order, values[order]))
+            self.tables[size] = prints, tables
+
+    def weight(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(s.shape, np.log1p(self.many))
+        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
+        return np.where(self.known[at] == s, self.weights[at], np.log1p(self.many))
+
+    def similarity(self, item: int, window: np.ndarray) -> float:
+        a, b = np.unique(self.sets[item]), np.unique(window)
+        common = self.weight(np.intersect1d(a, b)).sum()
+        return float(common / max(self.weight(a).sum() + self.weight(b).sum() - common, 1e-12))
+
+    def found(self, s: np.ndarray, similar: float) -> set[int]:
+        """Items with a window of their own size in a document's shingles that is similar enough."""
+        out: set[int] = set()
+        if not len(s):
+            return out
+        sums = _sums(s)
+        for size, (prints, tables) in self.tables.items():
+            stride = max(1, size // _STRIDES)
+            width = min(size, len(s))
+            starts = np.unique(np.append(np.arange(0, len(s) - width + 1, stride), len(s) - width))
+            mine = _prints(sums, starts, width)
+            for (order, there), values in zip(tables, block_values(mine, self.radius + 1)):
+                low, high = np.searchsorted(there, values, "left"), np.searchsorted(there, values, "right")
+                many = high - low
+                window = np.repeat(np.arange(len(mine)), many)
+                first = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many)
+                member = order[first + np.arange(len(window))]
+                near = np.bitwise_count(mine[window] ^ prints[member]) <= self.radius
+                for k, at in sorted(set(zip(member[near].tolist(), starts[window[near]].tolist()))):
+                    item = self.classes[size][k]
+                    n = min(len(self.sets[item]), len(s))
+                    if item not in out and any(self.similarity(item, s[b : b + n]) >= similar for b in range(max(0, at - stride - abs(n - size)), min(len(s) - n, at + stride + abs(n - size)) + 1)):
+                        out.add(item)
+        return out
+
+
+def _sums(s: np.ndarray) -> np.ndarray:
+    """Running votes of the bits of shingle hashes."""
+    bits = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    out = np.zeros((len(s) + 1, 64), np.int32)
+    np.cumsum(bits * 2 - 1, axis=0, out=out[1:])
+    return out
+
+
+def _prints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of a size at some places."""
+    return np.packbits(sums[starts + size] - sums[starts] > 0, axis=1).view(np.uint64).ravel()
+
+
+def _near(shared, similar: float):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: WholeItems = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
+            flat = np.asarray(lists.flatten()).view(np.uint64)
+            doc, item = [], []
+            for k in range(batch.num_rows):
+                for found in sorted(items.found(shingles(flat[ends[k] : ends[k + 1]], items.shingle), similar)):
+                    doc.append(k)
+                    item.append(items.ids[found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(item, pa.int64())], ["doc", "item"])
+
+    return match
+
+
+def near_items(documents: DataFrame, items: DataFrame, shingle: int = 5, radius: int = 14, similar: float = 0.8, words_at_once: int = 200_000) -> DataFrame:
+    """(doc, item) for documents (doc, text) that hold a whole item (item bigint, text), edited or not: a window of the item's own number of shingles whose weighted
+    Jaccard similarity with the item is at least ``similar``.
+
+    All fingerprints within ``radius`` bits are found; a window as similar as 0.8 lies within about 10 bits, so that a radius of 14 leaves out few (measured against brute
+    force in the tests). Items and documents of fewer words than a shingle match nothing; a document shorter than the item is one window.
+    """
+    kind = documents.schema["doc"].dataType.simpleString()
+    hashed = documents.select("doc", word_hashes(F.col("text")).alias("w")).where(F.size("w") >= shingle)
+    found = None
+    for ids, words in _blocks(items, words_at_once):
+        index = documents.sparkSession.sparkContext.broadcast(WholeItems(ids, words, shingle, radius))
+        part = hashed.mapInArrow(_near(index, similar), f"doc {kind}, item bigint")
         found = part if found is None else found.unionByName(part)
     return found.dropDuplicates()

@@ -76,6 +76,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(documents, items).toDF("doc_id", "item_id")
 
 
+def p7_near(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    items = _table(spark, folder, "eval_item").select(F.col("item_id").alias("item"), "text")
+    return leakage.near_items(documents, items).toDF("doc_id", "item_id")
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return spread(_table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text", "title", F.col("journal").alias("slug"), F.col("source").alias("host")))
 
@@ -100,6 +106,7 @@ QUERIES = {
     "p5_confidence": p5_confidence,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p7_near": p7_near,
     "p8_found": p8_found,
     "p8_kinds": p8_kinds,
 }

@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,10 +151,39 @@ def test_leaks_equal_brute_force(spark):
     want = {(d, i) for d, t in docs for i, q in items if windows(t) & windows(q)}
     d, q = spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(items, "item bigint, text string")
     assert want and {tuple(r) for r in leakage.leaked_items(d, q).collect()} == want
-    assert {tuple(r) for r in leakage.leaked_items(d, q, items_at_once=3).collect()} == want
+    assert {tuple(r) for r in leakage.leaked_items(d, q, words_at_once=60).collect()} == want
     assert leakage.leaked_items(d, q.limit(0)).count() == 0 and leakage.leaked_items(d.limit(0), q).count() == 0
 
 
+def test_whole_items_edited(spark):
+    draw = random.Random(21)
+    words = [f"y{i}" for i in range(400)]
+    item = [[draw.choice(words) for _ in range(draw.randint(30, 110))] for _ in range(30)]
+    docs = []
+    for k in range(120):
+        own = list(draw.choice(item))
+        for _ in range(draw.choice([0, 0, 1, 1, 2, 4])):
+            at = draw.randrange(len(own))
+            own[at : at + draw.choice([0, 1, 1])] = [draw.choice(words)]
+        filler = [draw.choice(words) for _ in range(draw.choice([0, 25, 200]))]
+        cut = draw.randrange(len(filler) + 1)
+        docs.append((k, " ".join(filler[:cut] + own + filler[cut:])))
+    docs += [(500, None), (501, ""), (502, "y1 y2")]
+    items = [(i, " ".join(w)) for i, w in enumerate(item)] + [(90, None), (91, "y1 y2")]
+    whole = leakage.WholeItems([i for i, _ in items], [np.array([hash(w) & (2**64 - 1) for w in (t or "").split()], np.uint64) for _, t in items], 5, 14)
+    want = set()
+    for d, t in docs:
+        s = leakage.shingles(np.array([hash(w) & (2**64 - 1) for w in (t or "").split()], np.uint64), 5)
+        for k, (i, _) in enumerate(items):
+            n = min(len(whole.sets[k]), len(s))
+            if n and any(whole.similarity(k, s[b : b + n]) >= 0.8 for b in range(len(s) - n + 1)):
+                want.add((d, i))
+    d, q = spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(items, "item bigint, text string")
+    got = {tuple(r) for r in leakage.near_items(d, q, words_at_once=1000).collect()}
+    assert len(want) > 60 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 1
+    assert leakage.near_items(d, q.limit(0)).count() == 0 and leakage.near_items(d.limit(0), q).count() == 0
+
+
 SENTENCES = [
     "Patients received {} in March.",
     "The dose rose to 4.5 mg within days.",
