@@ -1,118 +1,103 @@
-"""Porter's suffix stripping as SQL expressions, step by step over a column of words.
+"""Porter's suffix stripping, over a vocabulary.
 
-Each letter of a word has a class (C or V; ``y`` is a consonant at the start and behind a vowel). The class mask of a prefix is the prefix of the mask, so the measure of
-any stem is read off the word's mask. The steps are lists of (suffix, replacement, condition); the first suffix that
-fits decides, whether or not its condition holds. The expressions use nothing but CASE and functions
-that Spark and DuckDB share, but for regular expressions, which each engine's writer supplies.
+A word is a string of letters and a mask of their classes (C or V; ``y`` is a consonant at the start and behind a vowel). The mask of a prefix is the prefix of the
+mask, so every condition on a stem is read off the word's own mask. Rules are tables; of each table the first suffix that fits decides, whether or not its condition holds.
+
+It runs in Arrow batches over distinct words: as expressions the rules exceed what the JVM compiles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Suffixes and replacements of steps 2 and 3, suffixes of step 4.
-STEP_2 = (
-    "ational ate,tional tion,enci ence,anci ance,izer ize,abli able,alli al,entli ent,eli e,ousli ous,ization ize,ation ate,ator ate,alism al,"
-    "iveness ive,fulness ful,ousness ous,aliti al,iviti ive,biliti ble,logi log"
-)
-STEP_3 = "icate ic,ative ,alize al,iciti ic,ical ic,ful ,ness "
-STEP_4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize"
-
-Regex = Callable[[str, str, str], str]
-
-
-def spark_regex(text: str, pattern: str, by: str) -> str:
-    return f"regexp_replace({text}, '{pattern}', '{by}')"
-
-
-def duck_regex(text: str, pattern: str, by: str) -> str:
-    return f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
-
-
-def mask(word: str, regex: Regex) -> str:
-    """One letter of C and V for each letter of the word."""
-    m = f"translate({word}, 'aeioubcdfghjklmnpqrstvwxz', 'VVVVVCCCCCCCCCCCCCCCCCCCC')"
-    m = regex(m, "^y", "C")
-    for _ in range(3):
-        m = regex(regex(m, "Cy", "CV"), "Vy", "VC")
-    return m
-
-
-def _measure(m: str, regex: Regex) -> str:
-    """How often a vowel run is followed by a consonant run."""
-    flat = regex(regex(m, "C+", "C"), "V+", "V")
-    return f"((length({flat}) - length(replace({flat}, 'VC', ''))) / 2)"
-
-
-def measures(regex: Regex) -> list[str]:
-    """The measures q0 .. q7 of a word without its last 0 to 7 letters, over its mask ``m``."""
-    return [_measure(f"left(m, greatest(length(m) - {k}, 0))", regex) for k in range(8)]
-
-
-def steps(regex: Regex) -> list[str]:
-    """The expressions of the steps over columns ``w`` (the word), ``m`` (its mask) and q0 .. q7 (measures of its stems)."""
-
-    def cut(n: int, column: str = "w") -> str:
-        return f"left({column}, greatest(length({column}) - {n}, 0))"
-
-    def measure(m: str) -> str:
-        return _measure(m, regex)
-
-    def ends(w: str, *suffixes: str) -> str:
-        return "(" + " OR ".join(f"right({w}, {len(s)}) = '{s}'" for s in suffixes) + ")"
-
-    def cvc(w: str, m: str) -> str:
-        return f"(right({m}, 3) = 'CVC' AND length({w}) >= 3 AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
-
-    def double(w: str, m: str) -> str:
-        return f"(length({w}) >= 2 AND right({m}, 1) = 'C' AND right({w}, 1) = left(right({w}, 2), 1))"
-
-    def vowel(m: str) -> str:
-        return f"({m} LIKE '%V%')"
-
-    def chain(rules: list[tuple[str, str]], least: int) -> str:
-        cases = [f"WHEN {ends('w', s)} THEN (CASE WHEN q{len(s)} > {least} THEN {cut(len(s))} || '{by}' ELSE w END)" for s, by in rules]
-        return f"CASE {' '.join(cases)} ELSE w END"
-
-    pairs = [[tuple(p.split(" ")) for p in rules.split(",")] for rules in (STEP_2, STEP_3)]
-    one_a = f"CASE WHEN {ends('w', 'sses')} THEN {cut(2)} WHEN {ends('w', 'ies')} THEN {cut(3)} || 'i' WHEN {ends('w', 'ss')} THEN w WHEN {ends('w', 's')} THEN {cut(1)} ELSE w END"
-    # 1b in two: the bare stem behind a marker, then its repair.
-    bare = f"CASE WHEN {ends('w', 'eed')} THEN (CASE WHEN q3 > 0 THEN {cut(1)} ELSE w END) WHEN {ends('w', 'ed')} AND {vowel(cut(2, 'm'))} THEN '#' || {cut(2)} WHEN {ends('w', 'ing')} AND NOT {ends('w', 'ed')} AND {vowel(cut(3, 'm'))} THEN '#' || {cut(3)} ELSE w END"
-    s, sm = "substr(w, 2)", "substr(m, 2)"
-    repair = f"CASE WHEN left(w, 1) <> '#' THEN w WHEN {ends(s, 'at', 'bl', 'iz')} THEN {s} || 'e' WHEN {double(s, sm)} AND right(w, 1) NOT IN ('l', 's', 'z') THEN left({s}, length({s}) - 1) WHEN {measure(sm)} = 1 AND {cvc(s, sm)} THEN {s} || 'e' ELSE {s} END"
-    one_c = f"CASE WHEN {ends('w', 'y')} AND length(w) > 1 AND {vowel(cut(1, 'm'))} THEN {cut(1)} || 'i' ELSE w END"
-    four = [f"WHEN {ends('w', 'ion')} THEN (CASE WHEN q3 > 1 AND {ends(cut(3), 's', 't')} THEN {cut(3)} ELSE w END)"]
-    four += [f"WHEN {ends('w', x)} THEN (CASE WHEN q{len(x)} > 1 THEN {cut(len(x))} ELSE w END)" for x in STEP_4.split()]
-    five_a = f"CASE WHEN {ends('w', 'e')} AND (q1 > 1 OR (q1 = 1 AND NOT {cvc(cut(1), cut(1, 'm'))})) THEN {cut(1)} ELSE w END"
-    five_b = f"CASE WHEN {ends('w', 'll')} AND q0 > 1 THEN {cut(1)} ELSE w END"
-    return [one_a, bare, repair, one_c, chain(pairs[0], 0), chain(pairs[1], 0), f"CASE {' '.join(four)} ELSE w END", five_a, five_b]
-
-
-def _masked(regex: Regex) -> str:
-    """The mask, with a place for the marker of step 1b so that positions agree."""
-    return f"CASE WHEN left(w, 1) = '#' THEN '#' || {mask('substr(w, 2)', regex)} ELSE {mask('w', regex)} END"
+STEP_2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
+    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log"),
+]
+STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+
+
+def mask(word: str) -> str:
+    """The class of each letter."""
+    out = ""
+    for letter in word:
+        out += "V" if letter in "aeiou" or letter == "y" and out[-1:] == "C" else "C"
+    return out
+
+
+def measure(classes: str) -> int:
+    """How often a vowel is followed by a consonant."""
+    return classes.count("VC")
+
+
+def _short(word: str, classes: str) -> bool:
+    """Whether a word ends in consonant, vowel and a consonant other than w, x, y."""
+    return classes.endswith("CVC") and word[-1] not in "wxy"
+
+
+def _swapped(word: str, rules: list[tuple[str, str]], least: int) -> str:
+    """The first rule whose suffix fits, if the measure of what stands before it is above ``least``."""
+    for suffix, by in rules:
+        if word.endswith(suffix):
+            stem = word[: -len(suffix)]
+            if suffix == "ion" and not stem.endswith(("s", "t")):
+                return word
+            return stem + by if measure(mask(word)[: len(stem)]) > least else word
+    return word
+
+
+def _participle(word: str) -> str:
+    """Step 1b: -eed, -ed, -ing, and the repair of what is left."""
+    classes = mask(word)
+    if word.endswith("eed"):
+        return word[:-1] if measure(classes[:-3]) > 0 else word
+    n = 2 if word.endswith("ed") else 3 if word.endswith("ing") else 0
+    if not n or "V" not in classes[:-n]:
+        return word
+    stem, classes = word[:-n], classes[:-n]
+    if stem.endswith(("at", "bl", "iz")):
+        return stem + "e"
+    if len(stem) > 1 and stem[-1] == stem[-2] and classes.endswith("C") and stem[-1] not in "lsz":
+        return stem[:-1]
+    return stem + "e" if measure(classes) == 1 and _short(stem, classes) else stem
+
+
+def stem_word(word: str) -> str:
+    """The stem of a lower-case word; words of up to two letters or with other signs than a to z stay as they are."""
+    if len(word) < 3 or not _LETTERS.issuperset(word):
+        return word
+    if word.endswith(("sses", "ies")):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    word = _participle(word)
+    if word.endswith("y") and "V" in mask(word)[:-1]:
+        word = word[:-1] + "i"
+    word = _swapped(word, STEP_2, 0)
+    word = _swapped(word, STEP_3, 0)
+    word = _swapped(word, [(suffix, "") for suffix in STEP_4], 1)
+    classes = mask(word)
+    if word.endswith("e") and (measure(classes[:-1]) > 1 or measure(classes[:-1]) == 1 and not _short(word[:-1], classes[:-1])):
+        word, classes = word[:-1], classes[:-1]
+    return word[:-1] if word.endswith("ll") and measure(classes) > 1 else word
+
+
+def _stemming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if w is None else stem_word(w) for w in words], pa.string())], ["word", "stem"])
 
 
 def stemmed(words: DataFrame, column: str = "word") -> DataFrame:
-    """(word, stem) of distinct lower-case words; words of up to two letters or with other signs than a to z stay as they are."""
-    out = words.select(F.col(column).alias("word")).distinct().withColumn("w", F.col("word"))
-    for step in steps(spark_regex):
-        out = out.withColumn("m", F.expr(_masked(spark_regex)))
-        out = out.withColumns({f"q{k}": F.expr(q) for k, q in enumerate(measures(spark_regex))}).select("word", F.expr(step).alias("w"))
-    plain = F.col("word").rlike("^[a-z]+$") & (F.length("word") > 2)
-    return out.select("word", F.when(plain, F.col("w")).otherwise(F.col("word")).alias("stem"))
-
-
-def duck_stems(source: str) -> str:
-    """The same in DuckDB's SQL, from a relation with a column ``word``."""
-    sql = f"SELECT DISTINCT word, word AS w FROM ({source})"
-    for step in steps(duck_regex):
-        counts = ", ".join(f"{q} AS q{k}" for k, q in enumerate(measures(duck_regex)))
-        sql = f"SELECT word, {step} AS w FROM (SELECT word, w, m, {counts} FROM (SELECT word, w, {_masked(duck_regex)} AS m FROM ({sql})))"
-    return f"SELECT word, CASE WHEN regexp_full_match(word, '[a-z]+') AND length(word) > 2 THEN w ELSE word END AS stem FROM ({sql})"
+    """(word, stem) of distinct lower-case words."""
+    return words.select(F.col(column).alias("word")).distinct().mapInArrow(_stemming, "word string, stem string")
 
 
 def token_parts(token: Column) -> Column:

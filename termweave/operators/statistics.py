@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import ranked
+from .tables import by_term
 
 
 def zipf_table(stats: DataFrame) -> DataFrame:
@@ -76,21 +77,6 @@ def top_terms(stats: DataFrame, k: int) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: The most widely held terms, whose statistics go to every task instead of being joined by term. A constant, whatever the collection.
-COMMON = 20_000
-
-
-def with_df(counts: DataFrame, stats: DataFrame, common: int = COMMON) -> DataFrame:
-    """Rows of (document_id, term, ...) with the document frequency of their term, over (term, df): terms held by many documents never meet in one task.
-
-    The statistics of the ``common`` most widely held terms are sent along; the rows of all other terms meet theirs in a shuffle join.
-    """
-    head = F.broadcast(stats.select("term", "df").orderBy(F.desc("df"), "term").limit(common))
-    known = counts.join(head, "term", "left")
-    rest = known.where(F.col("df").isNull()).drop("df").join(stats.select("term", "df"), "term")
-    return known.where(F.col("df").isNotNull()).unionByName(rest)
-
-
 def document_tfidf(counts: DataFrame, stats: DataFrame, n: float, normalised: bool = False, terms: list[str] | None = None, base: float = 10.0, document: str | None = None) -> DataFrame:
     """(document_id, term, tf, idf, tf_idf): raw or length-normalised term frequency times IDF.
 
@@ -107,7 +93,7 @@ def document_tfidf(counts: DataFrame, stats: DataFrame, n: float, normalised: bo
     tf = F.col("n") / F.col("total") if normalised else F.col("n").cast("double")
     rows = rows.join(lengths, "document_id") if normalised else rows
     value = idf(F.lit(float(n)), F.col("df"), base)
-    met = with_df(rows.select("document_id", "term", tf.alias("tf")), stats)
+    met = by_term(rows.select("document_id", "term", tf.alias("tf")), stats.select("term", "df"))
     return met.select("document_id", "term", F.round("tf", 9).alias("tf"), F.round(value, 9).alias("idf"), F.round(F.col("tf") * value, 9).alias("tf_idf"))
 
 

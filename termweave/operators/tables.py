@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import stemmed, token_parts
-from ..plans.stage import spread
+from ..plans.stage import spread, written
 
 CONDITIONS = ["A_basic", "B_no_punctuation", "C_no_stopwords", "D_porter"]
 
@@ -100,9 +100,26 @@ def stem_map(terms: DataFrame) -> DataFrame:
     return back.select("term", F.replace(F.array_join(F.col("p.stem"), ""), F.lit("’"), F.lit("'")).alias("stem"))
 
 
+#: The most widely held terms, whose values go to every task instead of being joined by term. A constant, whatever the collection.
+COMMON = 20_000
+
+
+def by_term(rows: DataFrame, values: DataFrame, common: int = COMMON) -> DataFrame:
+    """Rows with a term joined to the values of their term (term, df, ...): terms held by many documents never meet in one task.
+
+    The values of the ``common`` most widely held terms are sent along; the rows of all other terms meet theirs in a shuffle join.
+    """
+    head = F.broadcast(values.orderBy(F.desc("df"), "term").limit(common))
+    known = rows.join(head, "term", "left")
+    rest = known.where(F.col("df").isNull()).select(*rows.columns).join(values, "term")
+    return known.where(F.col("df").isNotNull()).unionByName(rest)
+
+
 def restemmed(counts: DataFrame) -> DataFrame:
     """Counts by stem instead of term."""
-    return counts.join(stem_map(counts), "term").where(F.col("stem") != "").groupBy("document_id", F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
+    held = counts.groupBy("term").agg(F.count("*").alias("df"))
+    stems = written(held.join(stem_map(held), "term"))
+    return by_term(counts, stems).where(F.col("stem") != "").groupBy("document_id", F.col("stem").alias("term")).agg(F.sum("n").alias("n"))
 
 
 def condition_counts(docs: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:

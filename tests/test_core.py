@@ -25,8 +25,7 @@ def test_porter_words(spark):
     stems = "caress poni ti caress cat feed agre plaster motor sing relat condit ration valenc hesit digit vietnam triplic formal electric hope good".split()
     got = dict(tuple(r) for r in stem.stemmed(spark.createDataFrame([(w,) for w in words], "word string")).collect())
     assert got == dict(zip(words, stems))
-    sql = stem.duck_stems("SELECT unnest([" + ",".join(f"'{w}'" for w in words) + "]) AS word")
-    assert dict(duckdb.sql(sql).fetchall()) == got
+    assert [stem.stem_word(w) for w in ("by", "été", "x-ray", "sky", "yearly", "enjoyed", "hopping", "failing", "filing", "controll")] == ["by", "été", "x-ray", "sky", "yearli", "enjoi", "hop", "fail", "file", "control"]
     # The SQL that queries are compared with stems by other means.
     sql = oracle._stems("SELECT unnest([" + ",".join(f"'{w}'" for w in words) + "]) AS word")
     assert dict(duckdb.sql(sql).fetchall()) == got
