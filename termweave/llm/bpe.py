@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARIES = "/opt/tokenizers"
 #: Pieces a task remembers. Beyond that it forgets all and goes on.
 REMEMBERED = 400_000
 
@@ -99,7 +98,7 @@ def _encoding(shared, pattern: str):
     return encode
 
 
-def token_ids(texts: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = VOCABULARIES, pattern: str | None = None) -> DataFrame:
+def token_ids(texts: DataFrame, key: str, text: str, folder: str, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
     """(key, ids): one row for each row. The vocabulary, of fixed size, is read once by the driver and sent to the tasks; no shuffle."""
     if pattern is None:
         import public_tokenizers

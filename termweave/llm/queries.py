@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from ..plans.stage import spread
 from . import bpe, distinctive, language, leakage, near_duplicates, residue, sentences, term_trie
 
 
+#: Where the vocabulary files lie.
+TOKENIZERS = os.environ.get("TERMWEAVE_TOKENIZERS", "/opt/tokenizers")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -67,7 +73,7 @@ def p5_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.token_ids(_table(spark, folder, "documents"), "doc_id", "text")
+    return bpe.token_ids(_table(spark, folder, "documents"), "doc_id", "text", TOKENIZERS)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Token ids against the public library, on the same vocabulary."""
 
 import random
+from pathlib import Path
 
 import pytest
 
@@ -8,6 +9,7 @@ from termweave.llm import bpe
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
+FOLDER = str(Path(P.path("byte_bpe_50k.tiktoken")).parent)
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +33,6 @@ def test_equals_library_and_round_trips(ranks):
 
 def test_null_and_empty(spark):
     rows = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "ab ab", None)], "doc_id bigint, text string, ids int")
-    got = {r[0]: r[1] for r in bpe.token_ids(rows, "doc_id", "text").collect()}
+    got = {r[0]: r[1] for r in bpe.token_ids(rows, "doc_id", "text", FOLDER).collect()}
     assert got[1] == [] and got[2] == [] and len(got[3]) >= 2
-    assert bpe.token_ids(rows.limit(0), "doc_id", "text").count() == 0
+    assert bpe.token_ids(rows.limit(0), "doc_id", "text", FOLDER).count() == 0
