@@ -58,6 +58,12 @@ def frequency_summary(stats: DataFrame) -> DataFrame:
     )
 
 
+def reported(fits: DataFrame, preferred: str = "B_no_punctuation", baseline: DataFrame | None = None) -> DataFrame:
+    """The fit a report shows: that of the preferred condition, else the baseline's, else none."""
+    chosen = fits.where(F.col("condition") == preferred)
+    return baseline if baseline is not None and chosen.isEmpty() else chosen
+
+
 def idf(n: Column, df: Column, base: float = 10.0) -> Column:
     """log(N / df) to a base; null where either is not positive."""
     value = F.log10(n / df) if base == 10.0 else F.log(n / df) / F.log(F.lit(float(base)))

@@ -5,7 +5,9 @@ All of them are narrow or partitioned by document; only term statistics shuffle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -74,17 +76,21 @@ def corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     return segs, sents, tokens(sents)
 
 
-def counted(docs: DataFrame, condition: str) -> DataFrame:
-    """(document_id, term, n): terms of a condition by document, D excepted. Narrow up to a partial count."""
+def counted(docs: DataFrame, condition: str, stopwords: list[str] | None = None, tokenizer: Callable[[Column], Column] = T.folded_terms) -> DataFrame:
+    """(document_id, term, n): terms of a condition by document, D excepted. Narrow up to a partial count.
+
+    stopwords: those of condition C instead of the usual ones; tokenizer: text to an array of folded terms, for B and C.
+    """
     lines = F.filter(F.transform(F.split("text", "\n"), T.normal_statistics), lambda x: x != "")
     whole = F.array_join(lines, "\n")
     if condition.startswith("A"):
         terms = T.fold_list(F.regexp_extract_all(whole, F.lit("(?U)\\S+"), F.lit(0)))
     else:
-        terms = T.folded_terms(whole)
+        terms = tokenizer(whole)
     rows = docs.select("document_id", F.explode(terms).alias("term")).where(F.col("term") != "")
     if condition.startswith("C"):
-        rows = rows.where(~F.col("term").isin(T.STOPWORDS))
+        left_out = T.STOPWORDS if stopwords is None else [w.lower().replace("ß", "ss") for w in stopwords]
+        rows = rows.where(~F.col("term").isin(left_out))
     return rows.groupBy("document_id", "term").agg(F.count("*").alias("n"))
 
 
@@ -132,6 +138,21 @@ def condition_counts(docs: DataFrame, conditions: list[str] = CONDITIONS) -> Dat
     return out
 
 
+def before_and_after_stems(counts: DataFrame) -> DataFrame:
+    """(condition, documents, tokens_before, tokens_after, vocabulary_before, vocabulary_after, reduction, reduction_ratio) of conditions A, B and C, as they are and stemmed."""
+    out = None
+    for condition in CONDITIONS[:3]:
+        plain = counts.where(F.col("condition") == condition).select("document_id", "term", "n")
+        both = plain.withColumn("side", F.lit("before")).unionByName(restemmed(plain).withColumn("side", F.lit("after"))).withColumn("condition", F.lit(condition))
+        out = both if out is None else out.unionByName(both)
+    terms = out.groupBy("condition", "side", "term").agg(F.sum("n").alias("cf"))
+    sizes = terms.groupBy("condition").pivot("side", ["before", "after"]).agg(F.sum("cf").alias("tokens"), F.count("term").alias("vocabulary"))
+    docs = counts.groupBy("condition").agg(F.countDistinct("document_id").alias("documents"))
+    rows = sizes.join(docs, "condition").select("condition", "documents", *[F.col(f"{side}_{m}").alias(f"{m}_{side}") for m in ("tokens", "vocabulary") for side in ("before", "after")])
+    rows = rows.withColumn("reduction", F.col("vocabulary_before") - F.col("vocabulary_after"))
+    return rows.withColumn("reduction_ratio", F.when(F.col("vocabulary_before") > 0, F.round(F.col("reduction") / F.col("vocabulary_before"), 6)).otherwise(0.0))
+
+
 def term_stats(counts: DataFrame) -> DataFrame:
     """(condition, term, cf, df)."""
     return counts.groupBy("condition", "term").agg(F.sum("n").alias("cf"), F.count("*").alias("df"))

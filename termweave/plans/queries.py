@@ -150,6 +150,16 @@ def pattern_audit(spark, d):
     return audit.representations(_docs(spark, d))
 
 
+@query
+def pattern_coverage(spark, d):
+    return audit.coverage(_docs(spark, d))
+
+
+@query
+def unmatched_preview(spark, d):
+    return audit.unmatched_preview(_docs(spark, d))
+
+
 @query
 def highlight(spark, d):
     return _docs(spark, d).select("document_id", R.highlighted(F.col("text"), "adults").alias("marked"))
@@ -324,6 +334,21 @@ def porter_demo(spark, d):
     return one.select(F.col("C_no_stopwords_tokens").alias("tokens_before"), F.col("D_porter_tokens").alias("tokens_after"), F.col("C_no_stopwords_types").alias("types_before"), F.col("D_porter_types").alias("types_after"))
 
 
+@query
+def porter_pairs(spark, d):
+    return X.before_and_after_stems(_counts(spark, d).where(F.col("condition") != "D_porter"))
+
+
+@query
+def report_fit(spark, d):
+    return S.reported(zipf_by_condition(spark, d)).select("condition", "n", "zipf_exponent", "r_squared", "rmse")
+
+
+@query
+def custom_stopwords(spark, d):
+    return X.counted(_docs(spark, d), "C", stopwords=["The", "of", "adults"]).groupBy("term").agg(F.sum("n").alias("cf"), F.count("*").alias("df"))
+
+
 @query
 def ad_summary(spark, d):
     fits = zipf_by_condition(spark, d).select("condition", "zipf_exponent", "r_squared", "rmse")

@@ -391,3 +391,20 @@ _WRITTEN = (
 )
 ORACLE["parse_detect"] = f"WITH {_WRITTEN} SELECT CASE WHEN kind = 'PubMed' AND p = '' THEN 'unreadable' ELSE kind END AS source_format, count(*) AS files FROM w GROUP BY 1"
 ORACLE["parse_sections"] = f"WITH {_WRITTEN} SELECT kind AS source_format, CASE WHEN kind = 'GenericXML' THEN 0 ELSE len(l) END AS sections, count(*) AS files FROM w WHERE NOT (kind = 'PubMed' AND p = '') GROUP BY 1, 2"
+_ANY = "regexp_matches(lower(text), '(^|[^a-z0-9])(" + "|".join(p for _, p in _FORMS) + ")([^a-z0-9]|$)')"
+ORACLE["pattern_coverage"] = _with("docs", {}, f"SELECT count(*) AS documents, count(*) FILTER ({_ANY}) AS matched, round(count(*) FILTER ({_ANY}) / count(*), 6) AS share, count(*) FILTER (NOT {_ANY}) AS unmatched FROM docs")
+ORACLE["unmatched_preview"] = _with("docs", {}, f"SELECT document_id, substr(text, 1, 500) AS preview FROM docs WHERE NOT {_ANY} ORDER BY document_id LIMIT 10")
+ORACLE["custom_stopwords"] = _with("tb", {}, "SELECT term, count(*) AS cf, count(DISTINCT document_id) AS df FROM tb WHERE term NOT IN ('the', 'of', 'adults') GROUP BY 1")
+ORACLE["report_fit"] = _with("b", {"z": _zipf("b")}, f"SELECT condition, n, zipf_exponent, r_squared, rmse FROM ({_fit('z', 'condition')})")
+ORACLE["porter_pairs"] = _with(
+    "ca cb cc stem_of",
+    {
+        "pa0": "SELECT term, regexp_extract_all(term, '[^/''’‐‑‒–—-]+|[/''’‐‑‒–—-]+') AS p FROM (SELECT DISTINCT term FROM ca)",
+        "pa": "SELECT term, generate_subscripts(p, 1) AS i, unnest(p) AS word FROM pa0",
+        "sa": _stems("SELECT word FROM pa"),
+        "soa": "SELECT term, replace(string_agg(stem, '' ORDER BY i), '’', chr(39)) AS stem FROM pa JOIN sa USING (word) GROUP BY term",
+        "x": "SELECT 'A_basic' AS condition, document_id, term, n, stem FROM ca LEFT JOIN soa USING (term) UNION ALL SELECT 'B_no_punctuation', document_id, term, n, stem FROM cb LEFT JOIN stem_of USING (term) UNION ALL SELECT 'C_no_stopwords', document_id, term, n, stem FROM cc LEFT JOIN stem_of USING (term)",
+        "y": "SELECT condition, count(DISTINCT document_id) AS documents, sum(n)::BIGINT AS tokens_before, sum(n) FILTER (stem <> '')::BIGINT AS tokens_after, count(DISTINCT term) AS vocabulary_before, count(DISTINCT stem) FILTER (stem <> '') AS vocabulary_after FROM x GROUP BY 1",
+    },
+    "SELECT *, vocabulary_before - vocabulary_after AS reduction, round((vocabulary_before - vocabulary_after) / vocabulary_before, 6) AS reduction_ratio FROM y",
+)

@@ -62,3 +62,20 @@ def representations(texts: DataFrame) -> DataFrame:
     one = texts.agg(*counts, anyone)
     names = [*REPRESENTATIONS, "any_form"]
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(f"`{n}`").alias("documents")) for n in names])).alias("x")).select("x.*")
+
+
+def _anyone() -> str:
+    return "|".join(bounded(p) for p in REPRESENTATIONS.values())
+
+
+def coverage(texts: DataFrame) -> DataFrame:
+    """One row: documents, those with any of the forms, their share, those without."""
+    one = texts.agg(F.count("*").alias("documents"), F.count_if(F.lower("text").rlike(_anyone())).alias("matched"))
+    share = F.when(F.col("documents") > 0, F.round(F.col("matched") / F.col("documents"), 6)).otherwise(0.0)
+    return one.select("documents", "matched", share.alias("share"), (F.col("documents") - F.col("matched")).alias("unmatched"))
+
+
+def unmatched_preview(texts: DataFrame, most: int = 10, signs: int = 500) -> DataFrame:
+    """(document_id, preview): the first documents without any of the forms, by id, and how their texts begin."""
+    without = texts.where(~F.lower("text").rlike(_anyone()))
+    return without.orderBy("document_id").limit(most).select("document_id", F.substring("text", 1, signs).alias("preview"))
