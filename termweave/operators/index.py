@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stage import checkpoint_folder
+from ..plans.stage import checkpoint_folder, written
 from . import tables
 
 PARTS = ("segments", "sentences", "tokens", "terms")
@@ -29,12 +29,12 @@ class Index:
 
 def build(docs: DataFrame, folder: str) -> Index:
     """Writes the tables of (document_id, text, ...) to a folder and opens them."""
-    segs = tables.segments(docs)
-    segs.write.mode("overwrite").parquet(f"{folder}/segments")
     spark = docs.sparkSession
-    sents = tables.sentences(spark.read.parquet(f"{folder}/segments"))
-    sents.write.mode("overwrite").parquet(f"{folder}/sentences")
-    toks = tables.tokens(spark.read.parquet(f"{folder}/sentences"))
+    # Segments and sentences keep their partitioning by document, so that the windows of the next table shuffle nothing.
+    segs = written(tables.segments(docs), "document_id", f"{folder}/segments")
+    sents = written(tables.sentences(segs), "document_id", f"{folder}/sentences")
+    # Ranges are drawn from the rows, so the rows should not be worked out for that.
+    toks = written(tables.tokens(sents))
     toks.repartitionByRange("base", "surface", "document_id").sortWithinPartitions("base", "surface", "document_id", "global_word_index").write.mode("overwrite").parquet(f"{folder}/tokens")
     posts = spark.read.parquet(f"{folder}/tokens").groupBy("term", "surface", "base", "document_id").agg(F.count("*").alias("n"))
     terms = posts.groupBy("term", "surface", "base").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))

@@ -21,18 +21,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, by: str | None = None, path: str | None = None) -> DataFrame:
     """The rows written as a Parquet table in the checkpoint folder and read from there: as `settled`, but columnar and compressed, so that
     a later use reads only the columns it needs.
 
     by: a column by whose hash the rows lie together (``repartition(n, by)``); the table keeps that as buckets, and grouping by it shuffles nothing.
+    path: where to write instead, replacing what is there.
     """
     spark, name = df.sparkSession, f"table_{uuid.uuid4().hex}"
-    path = f"{checkpoint_folder(spark)}/{name}"
+    path = path or f"{checkpoint_folder(spark)}/{name}"
     if by is None:
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
+    df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
     table = spark.table(name)
     table.schema  # resolved before the name is given up; the files stay
     spark.sql(f"DROP TABLE {name}")
