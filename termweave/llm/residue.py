@@ -12,7 +12,7 @@ A text is cut into units (sentences, lines). What a unit says is weighed against
 * placeholders, found by their shape, and rows of pseudo-Latin or repeated words.
 
 A placeholder or a row of filler decides alone. A message of two classes and without information counts if it is mismatched or repeated. A
-doubtful one (one class, or some information) needs mismatch and repetition together. Repetition alone never decides.
+doubtful one (two page words of one class, or as much information as page words) needs mismatch and repetition together. Repetition alone never decides.
 
 One scan: a search for any page word or sign passes most texts by, and only the units of the others are weighed. Only units that wait for
 the evidence of hosts are shuffled, as hashes, counted before the shuffle; the counts come back salted, so that no unit gathers in one task.
@@ -199,7 +199,7 @@ class Reader:
         message, copy = len(seen.intersection(_MESSAGE)) + coded, len(seen.intersection(_COPY)) if "filler" in seen or seen >= {"copy", "due"} else 0
         if page >= 2 and max(message, copy) >= 2 and (information * 3 <= page or information <= 1 and page >= 2) and information <= 2.5 and words <= 40:
             return 2, page, topical
-        if page and max(message, copy) >= 1 and information <= max(2, page) and words <= 40 and ("state" in seen or "request" in seen or copy):
+        if page >= 2 and max(message, copy) >= 1 and information <= page and words <= 40 and ("state" in seen or "request" in seen or copy):
             return 1, page, topical
         return 0, page, topical
 

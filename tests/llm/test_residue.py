@@ -23,10 +23,11 @@ def test_wordings(spark):
 def test_every_kind(spark):
     texts = ["Rose by {{drug_name}} in all.", "Lorem ipsum dolor sit amet consectetur", "Your session has expired. Please log in again.", REAL]
     texts += [f"{REAL} Kept by team {k}. The page you requested could not be found." for k in range(4)]
-    texts += [f"Charts of team {k} were kept well. Reader access is currently limited again." for k in range(8)]
+    texts += [f"Charts of team {k} were kept well. Desk display will return shortly." for k in range(8)]
     kinds = _found(spark, texts)
     assert kinds[0] == "placeholder" and kinds[1] == "filler" and kinds[2] == "lone notice" and 3 not in kinds
     assert {kinds[k] for k in range(4, 8)} == {"repeated notice"}
+    assert {kinds.get(k) for k in range(8, 16)} == {"repeated fragment"}
 
 
 def test_title_on_the_same_matter_needs_repetition(spark):
