@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stage import checkpoint_folder, written
+from ..plans.stage import checkpoint_folder, exists, written
 from . import tables
 
 PARTS = ("segments", "sentences", "tokens", "terms")
@@ -50,27 +50,27 @@ _BUILT: dict[tuple[str, str], Index] = {}
 
 
 def of_folder(spark: SparkSession, folder: str) -> Index:
-    """The index of a folder's documents table: built at its first use in this application, in the checkpoint folder, then read."""
+    """The index of a folder's documents table: built at its first use in this application, in the checkpoint folder, then read; built again if it was removed."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _BUILT:
+    if key not in _BUILT or not exists(spark, f"{_BUILT[key].folder}/terms"):
         _BUILT[key] = build(tables.documents(spark, folder), f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}")
     return _BUILT[key]
 
 
-_COUNTED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_COUNTED: dict[tuple[str, str], tuple[str, DataFrame, DataFrame]] = {}
 
 
 def counts_of_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(condition, document_id, term, n) and (condition, term, cf, df) of a folder's documents under all four conditions: worked out and
     written at their first use in this application, a directory for each condition."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _COUNTED:
+    if key not in _COUNTED or not exists(spark, f"{_COUNTED[key][0]}/stats"):
         path = f"{checkpoint_folder(spark)}/counts-{uuid.uuid4().hex}"
         tables.condition_counts(tables.documents(spark, folder)).write.partitionBy("condition").parquet(f"{path}/counts")
         counts = spark.read.parquet(f"{path}/counts").select("condition", "document_id", "term", "n")
         tables.term_stats(counts).write.partitionBy("condition").parquet(f"{path}/stats")
-        _COUNTED[key] = counts, spark.read.parquet(f"{path}/stats").select("condition", "term", "cf", "df")
-    return _COUNTED[key]
+        _COUNTED[key] = path, counts, spark.read.parquet(f"{path}/stats").select("condition", "term", "cf", "df")
+    return _COUNTED[key][1:]
 
 
 def lookup(index: Index, term: str) -> DataFrame:

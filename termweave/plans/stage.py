@@ -40,6 +40,12 @@ def written(df: DataFrame, by: str | None = None, path: str | None = None) -> Da
     return table
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is (still) there, wherever it lies."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder and read from there: no later use computes them again, and
     losing an executor loses nothing."""

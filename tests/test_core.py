@@ -234,3 +234,16 @@ def test_stored_index(spark, tmp_path):
     meta = spark.createDataFrame([("P1", "", "DEMO", "T"), (None, "DEMO2", "x", "U")], "pmcid string, pmid string, filename string, title string")
     asked = spark.createDataFrame([("DEMO",), ("DEMO2",), ("no",)], "document_id string")
     assert {(r["document_id"], r["title"]) for r in retrieval.with_metadata(asked, meta, "pmcid", "pmid", "filename").collect()} == {("DEMO", "T"), ("DEMO2", "U"), ("no", None)}
+
+
+def test_an_index_that_was_removed_is_built_again(spark, tmp_path):
+    import shutil
+
+    rows = [(1, "Data and more data.", None, "en", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = index.of_folder(spark, str(tmp_path))
+    assert index.of_folder(spark, str(tmp_path)) is first
+    shutil.rmtree(first.folder.removeprefix("file:"))
+    assert {(r["term"], r["cf"]) for r in index.of_folder(spark, str(tmp_path)).terms.collect()} == {("data", 2), ("and", 1), ("more", 1)}
+    counts, stats = index.counts_of_folder(spark, str(tmp_path))
+    assert stats.where("condition = 'C_no_stopwords'").select("term").collect()[0]["term"] == "data" and counts.where("condition = 'D_porter'").count() == 1
