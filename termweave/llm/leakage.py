@@ -253,17 +253,23 @@ class WholeItems:
         common = self.weight(np.intersect1d(a, b)).sum()
         return float(common / max(self.weight(a).sum() + self.weight(b).sum() - common, 1e-12))
 
-    def found(self, s: np.ndarray, similar: float) -> set[int]:
-        """Items with a window of their own size in a document's shingles that is similar enough."""
-        out: set[int] = set()
-        if not len(s):
-            return out
-        sums = _sums(s)
+    def found(self, flat: np.ndarray, ends: np.ndarray, similar: float) -> set[tuple[int, int]]:
+        """(text, item): items with a window of their own size, in one of many texts' shingles, that is similar enough. ends: where the texts begin and end."""
+        out: set[tuple[int, int]] = set()
+        sums = _sums(flat)
+        begin, end = ends[:-1], ends[1:]
+        lengths = end - begin
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(flat)) - begin[owner]
         for size, (prints, tables) in self.tables.items():
             stride = max(1, size // _STRIDES)
-            width = min(size, len(s))
-            starts = np.unique(np.append(np.arange(0, len(s) - width + 1, stride), len(s) - width))
-            mine = _prints(sums, starts, width)
+            fits = lengths >= size
+            regular = np.flatnonzero((place % stride == 0) & (place + size <= lengths[owner]))
+            # The last window of each text, and the whole of a shorter one.
+            starts = np.concatenate((regular, end[fits] - size, begin[~fits & (lengths > 0)]))
+            stops = np.concatenate((regular + size, end[fits], end[~fits & (lengths > 0)]))
+            mine = np.packbits(sums[stops] - sums[starts] > 0, axis=1).view(np.uint64).ravel()
+            pairs = []
             for (order, there), values in zip(tables, block_values(mine, self.radius + 1)):
                 low, high = np.searchsorted(there, values, "left"), np.searchsorted(there, values, "right")
                 many = high - low
@@ -271,11 +277,15 @@ class WholeItems:
                 first = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many)
                 member = order[first + np.arange(len(window))]
                 near = np.bitwise_count(mine[window] ^ prints[member]) <= self.radius
-                for k, at in sorted(set(zip(member[near].tolist(), starts[window[near]].tolist()))):
-                    item = self.classes[size][k]
-                    n = min(len(self.sets[item]), len(s))
-                    if item not in out and any(self.similarity(item, s[b : b + n]) >= similar for b in range(max(0, at - stride - abs(n - size)), min(len(s) - n, at + stride + abs(n - size)) + 1)):
-                        out.add(item)
+                pairs.append(window[near] * len(prints) + member[near])
+            both = np.unique(np.concatenate(pairs))
+            for window, k in zip((both // len(prints)).tolist(), (both % len(prints)).tolist()):
+                text, item = int(owner[starts[window]]), self.classes[size][k]
+                s, at = flat[begin[text] : end[text]], int(starts[window] - begin[text])
+                n = min(len(self.sets[item]), len(s))
+                around = stride + abs(n - size)
+                if (text, item) not in out and any(self.similarity(item, s[b : b + n]) >= similar for b in range(max(0, at - around), min(len(s) - n, at + around) + 1)):
+                    out.add((text, item))
         return out
 
 
@@ -295,16 +305,32 @@ def _prints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 def _near(shared, similar: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: WholeItems = shared.value
+        overlap = 2 * max(map(len, items.sets), default=0) + 64
         for batch in batches:
             lists = batch.column(1)
             ends = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
             flat = np.asarray(lists.flatten()).view(np.uint64)
-            doc, item = [], []
+            met: set[tuple[int, int]] = set()
+            held, rows, size = [], [], 0
+
+            def weigh() -> None:
+                if held and items.tables:
+                    found = items.found(np.concatenate(held), np.cumsum([0, *map(len, held)]), similar)
+                    met.update((rows[text], item) for text, item in found)
+
             for k in range(batch.num_rows):
-                for found in sorted(items.found(shingles(flat[ends[k] : ends[k + 1]], items.shingle), similar)):
-                    doc.append(k)
-                    item.append(items.ids[found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(item, pa.int64())], ["doc", "item"])
+                s = shingles(flat[ends[k] : ends[k + 1]], items.shingle)
+                # A very long text is cut into overlapping pieces, so that no window is.
+                for at in range(0, max(1, len(s) - overlap), _CHUNK):
+                    held.append(s[at : at + _CHUNK + overlap])
+                    rows.append(k)
+                    size += len(held[-1])
+                    if size >= _CHUNK:
+                        weigh()
+                        held, rows, size = [], [], 0
+            weigh()
+            order = sorted(met)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in order], pa.int64())), pa.array([items.ids[i] for _, i in order], pa.int64())], ["doc", "item"])
 
     return match
 
