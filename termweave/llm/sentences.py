@@ -421,32 +421,40 @@ class Bare:
         for side in (self.left, self.right):
             seen = side.get(0, (1.0, 10.0))
             bases.append(min(max(seen[0] / max(seen[1], 1.0), 1e-3), 0.5))
-        gain = np.full(n + 1, -50.0)
-        gain[0] = gain[n] = 0.0
+        gain = np.zeros(n + 1)
         level = not wide and (text.islower() or text.isupper())  # then case tells nothing
         for i in range(1, n):
             gain[i] = self._odds(self.left, self._before(text, spans, i - 1, level), bases[0]) + self._odds(self.right, self._after(text, spans, i, level), bases[1])
         # Every way to cut: a sentence of k words has the weight of its length, one beyond the longest a constant.
-        prior = self.prior[wide]
+        prior = np.exp(self.prior[wide])
         far = float(prior.min())
-        backwards = prior[:0:-1]
-
-        def swept(worth: np.ndarray) -> np.ndarray:
-            total = np.full(n + 1, -np.inf)
-            total[0] = 0.0
-            beyond = -np.inf  # ways whose last event lies further back than the longest
+        backwards = prior[:0:-1]  # weights of the lengths longest .. 1
+
+        def swept(worth: list[float]) -> np.ndarray:
+            """Logarithms of the weight of all ways to cut up to each place. The sums are rescaled before they leave the range of a number."""
+            total = np.zeros(n + 1)
+            total[0] = 1.0
+            logs = np.zeros(n + 1)
+            shift, beyond = 0.0, 0.0  # beyond: ways whose last event lies further back than the longest
             for i in range(1, n + 1):
-                low = max(0, i - longest)
-                if i - longest - 1 >= 0:
-                    beyond = np.logaddexp(beyond, total[i - longest - 1])
-                near = total[low:i] + backwards[longest - (i - low) :]
-                top = near.max()
-                value = top + log(np.exp(near - top).sum()) if top > -np.inf else -np.inf
-                total[i] = np.logaddexp(value, beyond + far) + worth[i]
-            return total
-
-        forward = swept(gain)
-        backward = swept(gain[::-1])[::-1]
+                low = i - longest
+                if low > 0:
+                    beyond += total[low - 1]
+                    value = float(total[low:i] @ backwards)
+                else:
+                    value = float(total[:i] @ backwards[-i:])
+                value = (value + beyond * far) * worth[i]
+                total[i] = value
+                logs[i] = log(value) + shift
+                if not 1e-60 < value < 1e60:
+                    total[max(0, low) : i + 1] /= value
+                    beyond /= value
+                    shift += log(value)
+            return logs
+
+        worth = np.exp(gain).tolist()
+        forward = swept(worth)
+        backward = swept(worth[::-1])[::-1]
         posterior = np.exp(np.minimum(forward + backward - gain - forward[n], 0.0))
         return [spans[i - 1][1] for i in range(1, n) if posterior[i] > 0.5]
 
