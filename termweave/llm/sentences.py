@@ -342,6 +342,7 @@ class Bare:
     def __init__(self):
         self.left: dict = defaultdict(lambda: [0.0, 0.0])  # what stands before a place -> [events, places]
         self.right: dict = defaultdict(lambda: [0.0, 0.0])
+        self.known: dict = {}  # odds worked out before, at most _REMEMBERED
         self.lengths: dict[bool, Counter] = {False: Counter(), True: Counter()}  # by whether words have blanks between them
 
     @staticmethod
@@ -423,8 +424,19 @@ class Bare:
             bases.append(min(max(seen[0] / max(seen[1], 1.0), 1e-3), 0.5))
         gain = np.zeros(n + 1)
         level = not wide and (text.islower() or text.isupper())  # then case tells nothing
+        known = self.known
+        if len(known) > _REMEMBERED:
+            known.clear()
         for i in range(1, n):
-            gain[i] = self._odds(self.left, self._before(text, spans, i - 1, level), bases[0]) + self._odds(self.right, self._after(text, spans, i, level), bases[1])
+            a, b = spans[i - 1]
+            key = (text[max(0, a - 2) : b] if b - a == 1 else text[a:b], level, 0)
+            if (left := known.get(key)) is None:
+                left = known[key] = self._odds(self.left, self._before(text, spans, i - 1, level), bases[0])
+            a, b = spans[i]
+            key = (text[a : b + 2] if b - a == 1 else text[a:b], level, 1)
+            if (right := known.get(key)) is None:
+                right = known[key] = self._odds(self.right, self._after(text, spans, i, level), bases[1])
+            gain[i] = left + right
         # Every way to cut: a sentence of k words has the weight of its length, one beyond the longest a constant.
         prior = np.exp(self.prior[wide])
         far = float(prior.min())
