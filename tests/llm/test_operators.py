@@ -236,6 +236,19 @@ def test_stretches_without_marks(model):
     assert len(sentences.split(parts[0], model)) == 1 and len(sentences.split("x " * 3000, model)) == 1
 
 
+def test_the_model_counts_every_paragraph(spark):
+    """More paragraphs than the 6,000 once drawn: the fit equals the training on all of them, in any order, copies once."""
+    draw = random.Random(14)
+    texts = [f"Site {k} was open. " + " ".join(draw.choice(SENTENCES) for _ in range(2)).replace("{}", draw.choice(NAMES)) for k in range(6_500)]
+    texts += [f"{k}. 结果很好。他们来了！" for k in range(20)] + ["no end", "(One. Two.) Three", "ab \n"]
+    rows = [(t,) for t in texts] + [(texts[0],), (None,), ("",), ("  ",)]
+    got, want = sentences.fit(spark.createDataFrame(rows, "text string").repartition(5)), sentences.train(texts[::-1])
+    assert got.vocabulary == want.vocabulary and got.event == want.event and got.next == want.next
+    assert got.event["low .",][1] > 6_500 and (got.bare.left, got.bare.right, got.bare.longest) == (want.bare.left, want.bare.right, want.bare.longest)
+    empty = sentences.fit(spark.createDataFrame([(None,)], "text string"))
+    assert len(sentences.split("One here. Two there.", empty)) in (1, 2)
+
+
 def test_long_quotations_stay_whole(model):
     inner = "It hurts. Then it stops. " * 60
     text = f'Costs rose. One nurse said, "{inner.strip()}" Evidence was low.'
