@@ -249,6 +249,16 @@ def test_the_model_counts_every_paragraph(spark):
     assert len(sentences.split("One here. Two there.", empty)) in (1, 2)
 
 
+def test_a_pair_seen_often_is_not_what_it_was_first_taken_for():
+    """A sentence that begins in lower case is first taken for none; the more often it stands behind the same word, the surer it stayed so."""
+    draw = random.Random(15)
+    after = ["mRNA levels fell.", "The dose rose.", "Costs fell.", "Evidence was low.", "Larger trials followed."]
+    every = [*after, "All stayed for 12 weeks.", "Some came at 3 p.m. on Mondays."]
+    texts = [" ".join(draw.choice(every) for _ in range(draw.randint(1, 6))) for _ in range(1500)]
+    model = sentences.train(texts)
+    assert [len(sentences.split(f"All stayed for 12 weeks. {x}", model)) for x in after] == [2] * 5
+
+
 def test_long_quotations_stay_whole(model):
     inner = "It hurts. Then it stops. " * 60
     text = f'Costs rose. One nurse said, "{inner.strip()}" Evidence was low.'
