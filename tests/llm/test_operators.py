@@ -285,6 +285,29 @@ def test_languages(spark):
     assert [language.named(x) for x in ("EN-us", "ger", "French ", "mul", "en;de", None)] == ["en", "de", "fr", None, None, None]
 
 
+def test_every_record_and_stretch_has_a_language_and_a_confidence(spark):
+    draw = random.Random(16)
+    rows = [(k, "en", [" ".join(draw.sample([*ENGLISH, f"Site {k} was open."], 3)), None, ENGLISH[1]]) for k in range(40)]
+    rows += [(100 + k, "fr", [" ".join(draw.sample([*FRENCH, f"Le centre {k} est ouvert."], 3))]) for k in range(40)]
+    rows += [(200, "en", None), (201, "en", [" "]), (202, "fr", [ENGLISH[0]])]
+    df = spark.createDataFrame(rows + rows[:2], "record_id bigint, label string, paragraphs array<string>")
+    got = {(r["record_id"], r["paragraph_no"], r["char_start"]): r for r in language.languages(df).collect()}
+    assert set(got) == {(k, n, 0) for k in range(40) for n in (-1, 0, 2)} | {(100 + k, n, 0) for k in range(40) for n in (-1, 0)} | {(202, -1, 0), (202, 0, 0)}
+    assert all(r["lang"] == ("fr" if 100 <= r["record_id"] < 200 else "en") and 0 < r["confidence"] <= 1 for r in got.values())
+    assert {k for k, r in got.items() if r["corrects"]} == {(202, -1, 0)} == {(r["record_id"], r["paragraph_no"], r["char_start"]) for r in language.corrected_languages(df).collect()}
+
+
+def test_stretches_are_whole_sentences_that_rough_pieces_hide():
+    """A French sentence in lower case after an English one: both lie in one rough piece."""
+    draw = random.Random(17)
+    every = [*ENGLISH, *FRENCH, "mRNA levels fell.", "Costs fell.", "The dose rose."]
+    model = sentences.train([" ".join(draw.choice(every) for _ in range(draw.randint(1, 6))) for _ in range(800)])
+    compressors = language.Compressors({"en": " ".join(ENGLISH * 3).encode(), "fr": " ".join(FRENCH * 3).encode()})
+    text = ENGLISH[0] + " mRNA " + FRENCH[0][4:]
+    assert len(language.rough_pieces([text])) == 1
+    assert [(k, a, c) for k, a, _, c, _ in language.stretches([text], compressors, model)] == [(0, 0, "en"), (0, len(ENGLISH[0]) + 1, "fr")]
+
+
 def test_unknown_languages_are_rejected(spark):
     draw = random.Random(6)
     rows = [(k, "en", [" ".join(draw.sample([*ENGLISH, f"Site {k} was open."], 3))]) for k in range(40)]
