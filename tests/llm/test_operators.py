@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -267,6 +268,36 @@ def test_long_quotations_stay_whole(model):
     assert len(sentences.split("Evidence was low." + " " * 500 + "Costs rose.", model)) == 2
 
 
+def test_gaps_are_found_where_plain_alternatives_find_them():
+    """The patterns that begin with a set of characters, against the alternatives they stand for."""
+    end, shut, thai, han = ".!?…。！？।॥", "\"'”’»)\\]）」』》", "฀-๿", "぀-ヿ㐀-鿿豈-﫿"
+    plain = re.compile(
+        rf"[。！？।॥]+[{shut}]*|[{end}]+(?:\s*»|[{shut}])*(?=\s|[\"'“‘„«(\[（「『《¿¡]|[^\W\d_a-z]|[{han}])|(?<=[^\W\d]{{3}})[.!?](?=\d)|(?<=[{thai}])\s+(?=[{thai}])|(?<=\))\s+(?=\()"
+        rf"|(?<=[{thai}])\s+(?=(?:[^\s{thai}]+\s+){{3}}[^\s{thai}]|[^\s{thai}]*[{han}ऀ-ॿЀ-ӿ])"
+    )
+    draw = random.Random(18)
+    for _ in range(20_000):
+        text = "".join(draw.choice("abcA1.!…。।»”)(กж中 \n") for _ in range(draw.randint(1, 30)))
+        pattern = sentences._GAP_AT_MARK if sentences._GAP_AT_BLANK.search(text) is None else sentences._GAP
+        assert [m.span() for m in pattern.finditer(text)] == [m.span() for m in plain.finditer(text)], text
+
+
+def test_sides_of_gaps_are_weighed_once_and_usual_sentences_not_cut_into_units(model, monkeypatch):
+    texts = [f"{a} {b}" for a in SENTENCES for b in SENTENCES for _ in range(2)]
+    want = [sentences.split(t, model) for t in texts]
+    model.forget()
+    lefts, units = [], []
+    left, cut = sentences.EventModel.left, sentences._units
+    monkeypatch.setattr(sentences.EventModel, "left", lambda self, contexts, full: lefts.append(contexts[0]) or left(self, contexts, full))
+    monkeypatch.setattr(sentences, "_units", lambda text: units.append(text) or cut(text))
+    assert [sentences.split(t, model) for t in texts] == want
+    gaps = [g for t in texts for g in sentences.gaps(t)]
+    assert len(lefts) <= len({(g.l2, g.l1) for g in gaps} | {("<s>", g.l1) for g in gaps}) < len({(g.l2, g.l1, g.r1, g.r2) for g in gaps})
+    assert not units
+    long = "x " * 3000
+    assert len(sentences.split(long, model)) == 1 and units
+
+
 ENGLISH = ["The patients were treated with care and the dose was raised over the weeks.", "We searched several databases for trials of the drug in adults with the disease."]
 FRENCH = ["Les patients ont été suivis pendant plusieurs semaines dans les hôpitaux de la ville.", "Il reste à savoir si le traitement modifie durablement le poids chez les adultes."]
 
