@@ -361,6 +361,24 @@ def test_pieces_tried_against_all_others_change_nothing():
         assert [c for c, _, _ in quick] == [c for c, _, _ in whole]
 
 
+def test_no_piece_is_sized_twice_under_a_language():
+    compressors = language.Compressors({"en": " ".join(ENGLISH * 3).encode(), "fr": " ".join(FRENCH * 3).encode()})
+    # The second sentence is in neither language, so that trying English against all others does not tell.
+    record = [ENGLISH[0] + " Obat itu menolong beberapa orang tua setiap malam. " + ENGLISH[1]]
+    pieces = language.rough_pieces(record)
+    assert len(pieces) == 3
+    want = language.path(record, pieces, compressors)
+    sized = []
+    for code, compress in list(compressors.ready.items()):
+        compressors.ready[code] = lambda raw, code=code, compress=compress: sized.append((code, raw)) or compress(raw)
+    assert language.path(record, pieces, compressors) == want
+    assert len(sized) == len(set(sized)) and ("en", pieces_text(record, pieces[1])) in sized
+
+
+def pieces_text(record, piece):
+    return record[piece.paragraph][piece.start : piece.end].encode()
+
+
 def test_every_label_reaches_the_sentence_model(spark):
     rows = [(k, "en", [f"Site {k} was open. Visitors came."]) for k in range(60)] + [(100 + k, "hi", [f"केंद्र {k} खुला था। लोग आए।"]) for k in range(20)] + [(200 + k, "th", [f"ศูนย์ที่ {k} เปิดแล้ว ผู้ป่วยมาถึงแล้ว"]) for k in range(20)]
     df = spark.createDataFrame(rows, "record_id bigint, label string, paragraphs array<string>")
