@@ -3,7 +3,7 @@
 import itertools
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -271,6 +271,29 @@ def test_paragraphs_are_judged_once_and_pairs_counted_once(spark, monkeypatch):
     assert pairs and min(pairs.values()) >= 3 and (model.event, model.next) == (fitted.event, fitted.next)
 
 
+def test_words_of_sentences_are_counted_once_for_both_sides():
+    """Every place between two words of a text counts what stands before it and behind it, also where a text mixes scripts."""
+    bare, left, right = sentences.Bare(), defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for parts in (["One dose rose.", "One fell!", "rose"], ["One"], ["One fell.", "他们 One fell。", "One dose."], ["他们 rose。", "One dose"]):
+        text, ranges, rows = " ".join(parts), [], []
+        for part in parts:
+            a = ranges[-1][1] + 1 if ranges else 0
+            ranges.append((a, a + len(part)))
+            rows.append(part.rstrip("!.。").replace("他们", "他 们").split())
+        bare.learn(text, ranges)
+        units = [(w, k) for k, row in enumerate(rows) for w in row]
+        for (w, k), (v, n) in zip(units, units[1:]):
+            for side, unit in ((left, w), (right, v)):
+                for context in (0, "=" + unit.lower()):
+                    side[context][0] += k != n
+                    side[context][1] += 1
+    assert bare.units["words"]["One"] == 6 and not bare.units["before"]["dose"]
+    bare.told()
+    for got, want in ((bare.left, left), (bare.right, right)):
+        words = [k for k in want if k not in ("=他", "=们")]  # characters have other contexts
+        assert len(words) >= 4 and all(got[k] == want[k] for k in words)
+
+
 def test_a_pair_seen_often_is_not_what_it_was_first_taken_for():
     """A sentence that begins in lower case is first taken for none; the more often it stands behind the same word, the surer it stayed so."""
     draw = random.Random(15)
