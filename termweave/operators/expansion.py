@@ -192,6 +192,17 @@ def sentence_words(tokens: DataFrame, least: int = 2) -> DataFrame:
     return rows.select("document_id", "segment_id", "sentence_index", F.col("w.surface").alias("words")).where(F.size("words") >= least)
 
 
+def words_by_sentence(docs: DataFrame, least: int = 2) -> DataFrame:
+    """What ``sentence_words`` gives for the tokens of (document_id, text), straight from the texts: no index and no shuffle."""
+    from ..functions import text as T
+
+    lines = F.filter(F.transform(F.split("text", "\n"), T.normal_statistics), lambda x: x != "")
+    rows = docs.select("document_id", F.posexplode(lines).alias("segment_id", "text")).select("document_id", "segment_id", F.posexplode(T.sentence_list(F.col("text"))).alias("sentence_index", "text"))
+    terms = rows.select("document_id", "segment_id", "sentence_index", T.term_list(F.col("text")).alias("terms")).where(F.size("terms") >= least)
+    # All terms of a sentence in one pass; no term holds the control character used as a seam.
+    return terms.select("document_id", "segment_id", "sentence_index", F.split(T.surface(F.array_join("terms", "\x01")), "\x01").alias("words"))
+
+
 def architecture(name: str) -> str:
     """skip-gram under its usual names; the other architecture has no distributed trainer here."""
     plain = name.strip().lower().replace("-", "").replace("_", "").replace(" ", "")
@@ -240,9 +251,28 @@ def shown_neighbours(near: list[tuple[str, float]], word: str, most: int = 12) -
     return rows
 
 
+def as_model(vectors: DataFrame, params: dict):
+    """Spark's own word vector model over (word, vector: array<float>), by way of the form in which Spark saves one."""
+    import json
+    import time
+    import uuid
+
+    from pyspark.ml.feature import Word2VecModel
+
+    from ..plans.stage import checkpoint_folder
+
+    spark, name = vectors.sparkSession, f"Word2Vec_{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_folder(spark)}/{name}"
+    about = {"class": "org.apache.spark.ml.feature.Word2VecModel", "timestamp": int(time.time() * 1000), "sparkVersion": spark.version, "uid": name, "paramMap": params, "defaultParamMap": {}}
+    vectors.write.parquet(f"{path}/data")
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    return Word2VecModel.load(path)
+
+
 def train_vectors(sentences: DataFrame, size: int = 100, window: int = 5, least: int = 1, epochs: int = 20, partitions: int = 1, seed: int = 42, kind: str = "skipgram"):
-    """A skip-gram model over (words: array<string>)."""
-    from pyspark.ml.feature import Word2Vec
+    """A skip-gram model over (words: array<string>), as Spark's model."""
+    from .skipgram import RATE, trained
 
     architecture(kind)
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, numPartitions=partitions, seed=seed, inputCol="words", outputCol="v").fit(sentences)
+    params = {"vectorSize": size, "windowSize": window, "minCount": least, "maxIter": epochs, "numPartitions": partitions, "seed": seed, "stepSize": RATE, "maxSentenceLength": 1000, "inputCol": "words", "outputCol": "v"}
+    return as_model(trained(sentences, size, window, least, epochs, partitions, seed), params)

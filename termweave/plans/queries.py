@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from ..operators import retrieval as R
 from ..operators import scopes as P
 from ..operators import statistics as S
 from ..operators import tables as X
+from ..operators.skipgram import trained
 from ..sources import artifacts, audit, ids, markup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -688,8 +688,8 @@ def w2v_sentences(spark, d):
 
 @query
 def w2v_train(spark, d):
-    model = E.train_vectors(E.sentence_words(_tokens(spark, d)), size=100, window=5, least=2, epochs=20, partitions=8)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    vectors = trained(E.words_by_sentence(_docs(spark, d)), size=100, window=5, least=2, epochs=20, partitions=8)
+    return vectors.select("word", F.col("vector").cast("array<double>").alias("vector"))
 
 
 # --- sources -----------------------------------------------------------------------------------------------------------------

@@ -174,6 +174,61 @@ def test_trained_vectors(spark, tmp_path):
     assert all(len(v) == 100 and any(v) for v in got.values())
 
 
+def test_vectors_are_trained_without_an_index(spark, tmp_path):
+    text = "First line of O’Neil’s data. Straße 12,5% and ΟΔΟΣ!\n\n( ; ) One.\nDr. Smith vs. age-related GLP-1/GIP. Ja? Nein doch, nein."
+    rows = [(k, text if k % 2 else f"Number {k} of {k}. Again  {k} .", None, "en", "a") for k in range(6)] + [(9, None, None, "en", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(queries.w2v_train(spark, str(tmp_path)).collect()) > 5
+    assert (spark.sparkContext.applicationId, str(tmp_path)) not in index._BUILT
+    docs = tables.documents(spark, str(tmp_path))
+    want = expansion.sentence_words(tables.tokens(tables.sentences(tables.segments(docs))))
+    assert sorted(expansion.words_by_sentence(docs).collect()) == sorted(want.collect()) and want.count() > 10
+
+
+def test_a_step_sums_the_gradients_of_all_pairs():
+    import numpy as np
+
+    from termweave.operators import skipgram
+
+    rng, v, window, rate = np.random.default_rng(3), 9, 3, 0.01
+    ids, sentence = rng.integers(0, v, 500), np.repeat(np.arange(50), 10)
+    model = rng.normal(size=(2 * v, 4)).astype("float32")
+    pairs = 0
+    for near, others, weight in skipgram.steps(ids, sentence, window, (np.arange(1, v + 1) / v).astype("float32"), np.random.default_rng(5)):
+        blocks, block, wide = weight.shape
+        wide -= skipgram.SHARED
+        got = model.copy()
+        step, curved = skipgram.stepper(got, window)
+        step(near, others, weight, rate)
+        far = [float(np.mean([np.sum(model[k] ** 2) for k in rows])) for rows in (np.concatenate([near, others.ravel()]) + v, near[window:-window])]
+        down, bend = np.zeros((2 * v, 4)), np.zeros(2 * v)
+        for s, p, j in zip(*np.nonzero(weight)):
+            x, y = near[s * block + p + window], v + (near[s * block + j] if j < wide else others[s, j - wide])
+            w, score = weight[s, p, j], 1 / (1 + np.exp(-model[x] @ model[y]))
+            assert j >= wide or 0 < abs(p + window - j) <= window
+            for a, b, size in ((x, y, far[0]), (y, x, far[1])):
+                down[a] += w * (score - (j < wide)) * model[b]
+                bend[a] += w * score * (1 - score) * size
+        pairs += np.count_nonzero(weight[:, :, :wide])
+        assert np.allclose(got, model - down * (rate / (1 + rate * bend))[:, None], atol=1e-5) and np.allclose(curved, bend, rtol=1e-4)
+    # Ten words have 18 pairs if each reaches one word to either side, 48 if each reaches three.
+    assert 50 * 18 < pairs < 50 * 48
+
+
+def test_words_of_one_kind_have_vectors_of_one_kind(spark):
+    kinds = [["cat", "dog", "cow"], ["red", "blue", "green"]]
+    rows = [(k, [kinds[k % 2][(k // 2 + i) % 3] for i in range(6)] + [f"only{k}"]) for k in range(600)]
+    sentences = spark.createDataFrame(rows, "k int, words array<string>").repartition(3)
+    model = expansion.train_vectors(sentences, size=20, least=2, epochs=3, partitions=4)
+    assert {r["word"] for r in model.getVectors().collect()} == {w for kind in kinds for w in kind}
+    assert {w for w, _ in expansion.most_similar(model, "Cat", 2)} == {"dog", "cow"} and expansion.most_similar(model, "only1") == []
+    assert expansion.word_similarity(model, "red", "blue") > expansion.word_similarity(model, "red", "dog")
+    again = expansion.train_vectors(sentences.repartition(2), size=20, least=2, epochs=3, partitions=4)
+    assert {tuple(r) for r in again.getVectors().collect()} == {tuple(r) for r in model.getVectors().collect()}
+    with pytest.raises(ValueError):
+        expansion.train_vectors(sentences, least=10_000)
+
+
 def test_id_batches(spark):
     rows = spark.createDataFrame([(str(i), i) for i in range(250)], "id string, pos bigint")
     sizes = ids.batches(rows, 100).groupBy("batch").count().orderBy("batch").collect()
